@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def process_cache() -> dict:
+    """A dictionary of this process; unlike a module's variables it never travels with a function."""
+    return sys.__dict__.setdefault("_quarry_cache", {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named test table under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
