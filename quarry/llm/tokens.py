@@ -10,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quarry.core.runtime import process_cache
+
 _P = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 _P_INVERSE = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+#: Bytes hashed in one go, but for longer single strings.
+_STRIDE = 1 << 21
 
 #: Byte classes: 0 separates tokens, any other value stands for the byte.
 WORDS = np.zeros(256, np.uint8)
@@ -23,12 +26,13 @@ SPACED[48:58] = 35
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+    have = process_cache().get("powers")
+    if have is None or len(have[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         a, b = np.full(size, _P, np.uint64), np.full(size, _P_INVERSE, np.uint64)
         a[0] = b[0] = 1
-        _powers[:] = [np.cumprod(a), np.cumprod(b)]
-    return _powers[0], _powers[1]
+        have = process_cache()["powers"] = (np.cumprod(a), np.cumprod(b))
+    return have
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,6 +56,10 @@ def buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def token_hashes(strings: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(hash, owner)`` of all tokens in order; ``owner`` is the index of the string."""
     raw, off = buffers(strings)
+    if len(raw) > _STRIDE and len(strings) > 1:
+        cuts = np.unique(np.concatenate([np.searchsorted(off, np.arange(0, len(raw), _STRIDE)), [len(strings)]]))
+        parts = [token_hashes(strings.slice(a, b - a), classes) for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate([h for h, _ in parts]), np.concatenate([o + a for (_, o), a in zip(parts, cuts)])
     m = classes[raw]
     n = len(m)
     if not n:
