@@ -57,9 +57,9 @@ def token_hashes(strings: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np
     """``(hash, owner)`` of all tokens in order; ``owner`` is the index of the string."""
     raw, off = buffers(strings)
     if len(raw) > _STRIDE and len(strings) > 1:
-        cuts = np.unique(np.concatenate([np.searchsorted(off, np.arange(0, len(raw), _STRIDE)), [len(strings)]]))
-        parts = [token_hashes(strings.slice(a, b - a), classes) for a, b in zip(cuts, cuts[1:])]
-        return np.concatenate([h for h, _ in parts]), np.concatenate([o + a for (_, o), a in zip(parts, cuts)])
+        half = len(strings) // 2
+        (h1, o1), (h2, o2) = token_hashes(strings.slice(0, half), classes), token_hashes(strings.slice(half), classes)
+        return np.concatenate([h1, h2]), np.concatenate([o1, o2 + half])
     m = classes[raw]
     n = len(m)
     if not n:
