@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.core.runtime import cut, table
-from quarry.llm import boilerplate_lines, main_content, near_duplicates, split_overlap
+from quarry.llm import boilerplate_lines, main_content, mixing, near_duplicates, packing, pair_defects, sentences, sizes, split_overlap, splitting
 
 
 def _news(spark, d):
     return table(spark, d, "financial_news_queue")
 
 
+def p1_all(spark, d):
+    """Every triggered defect with its rank."""
+    sft = pair_defects.find_defects(_sft(spark, d), "sft_records", ["target_completion"])
+    return sft.unionByName(pair_defects.find_defects(table(spark, d, "dpo_records"), "dpo_records", ["chosen", "rejected"]))
+
+
+def p1_found(spark, d):
+    return p1_all(spark, d).where("rank = 1").drop("rank")
+
+
 def p2_found(spark, d):
     return boilerplate_lines.repeated_line_positions(_news(spark, d), table(spark, d, "domain_status"))
 
@@ -21,6 +31,15 @@ def p2_cleaned(spark, d):
     return out.select("id", "removed", F.length("clean_text").alias("clean_chars"))
 
 
+def p3_pieces(spark, d):
+    return splitting.split_texts(table(spark, d, "filing_chunks")).drop("piece")
+
+
+def p3_found(spark, d):
+    """Chunks that came out in several pieces, which are those over the limit."""
+    return p3_pieces(spark, d).where("piece_no = 1").select("chunk_id").distinct()
+
+
 def p5_links(spark, d):
     rows = _news(spark, d)
     sets = cut(main_content.body_sets(rows, main_content.fit_from(rows)))
@@ -71,7 +90,45 @@ def p7_report(spark, d):
     return split_overlap.overlap_report(rows, split_overlap.overlaps(rows))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p5_found, p5_groups, p6_found, p7_found, p7_exact, p7_report)}
+def _doc_sizes(spark, d):
+    return sizes.token_sizes(table(spark, d, "documents"), "doc_id", "text", ("source",))
+
+
+def p8_containers(spark, d):
+    return packing.pack_documents(_doc_sizes(spark, d))
+
+
+def p8_found(spark, d):
+    return p8_containers(spark, d).where("piece = 1").select("doc_id")
+
+
+def p8_report(spark, d):
+    """Containers, pieces and the share of unused space."""
+    x = p8_containers(spark, d).groupBy("container").agg(F.sum("size").alias("used"), F.count("*").alias("pieces"))
+    return x.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.round(1 - F.sum("used") / (F.count("*") * packing.CAPACITY), 5).alias("unused"))
+
+
+def p9_mix(spark, d):
+    """The selected documents and how often each is used."""
+    return mixing.mix_sources(_doc_sizes(spark, d), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark, d):
+    return mixing.mix_sources(_doc_sizes(spark, d), table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark, d):
+    return p9_shares(spark, d).where("short").select("source")
+
+
+def p10_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_all, p2_found, p2_cleaned, p3_found, p3_pieces, p5_found, p5_groups, p6_found, p7_found, p7_exact, p7_report,
+    p8_found, p8_containers, p8_report, p9_found, p9_mix, p9_shares, p10_found,
+)}
 
 _SITE = r"""
 WITH h AS (SELECT id, raw_text, provider, nullif(regexp_extract(lower(trim(source_url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host FROM financial_news_queue),
@@ -93,6 +150,8 @@ e AS (SELECT y.record_no, y.split, y.source, count(*) AS k FROM y JOIN y t ON t.
 """
 
 SQL = {
+    "p3_found": r"""SELECT DISTINCT chunk_id FROM filing_chunks
+WHERE floor(greatest(1.35 * len(regexp_extract_all(text, '[^\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')), length(text) / 3.7) + 1) > 1500""",
     "p2_found": _SITE + "SELECT n.id, n.line_no::BIGINT AS line_no FROM n JOIN hot USING (site, k)",
     "p7_exact": _CANON + "SELECT split, source, count(*) AS overlapping, sum(k)::BIGINT AS pairs FROM e GROUP BY split, source",
 }
