@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.core.runtime import cut, table
-from quarry.llm import boilerplate_lines, main_content, mixing, near_duplicates, packing, pair_defects, sentences, sizes, split_overlap, splitting
+from quarry.llm import boilerplate_lines, main_content, mixing, names, near_duplicates, packing, pair_defects, sentences, sizes, split_overlap, splitting
 
 
 def _news(spark, d):
@@ -40,6 +40,15 @@ def p3_found(spark, d):
     return p3_pieces(spark, d).where("piece_no = 1").select("chunk_id").distinct()
 
 
+def p4_entities(spark, d):
+    """Every name with its entity."""
+    return names.link_names(*names.names_from(table(spark, d, "annotated_triples"), table(spark, d, "sp500_constituents")))
+
+
+def p4_found(spark, d):
+    return names.pairs_of(cut(p4_entities(spark, d)))
+
+
 def p5_links(spark, d):
     rows = _news(spark, d)
     sets = cut(main_content.body_sets(rows, main_content.fit_from(rows)))
@@ -126,7 +135,7 @@ def p10_found(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_all, p2_found, p2_cleaned, p3_found, p3_pieces, p5_found, p5_groups, p6_found, p7_found, p7_exact, p7_report,
+    p1_found, p1_all, p2_found, p2_cleaned, p3_found, p3_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_found, p7_found, p7_exact, p7_report,
     p8_found, p8_containers, p8_report, p9_found, p9_mix, p9_shares, p10_found,
 )}
 
