@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.core.runtime import cut
-from quarry.llm.near_duplicates import class_members, sided, similar_classes, text_sets
+from quarry.llm.near_duplicates import similar_classes, text_sets
 
 TRAIN = "train"
 
@@ -38,11 +38,10 @@ def exact_overlaps(rows: DataFrame, key: str = "record_no", split: str = "split"
 
 def near_overlaps(rows: DataFrame, threshold: float = 0.6, width: int = 3, key: str = "record_no", split: str = "split", text: str = "prompt") -> DataFrame:
     """``(t, e)``: pairs across splits whose distinct word shingles overlap to ``threshold`` or more."""
-    base = rows.where(F.col(text).isNotNull() & F.col(split).isNotNull())
-    sets = sided(text_sets(base, key, text, width), base.select(key, (F.col(split) == TRAIN).alias("_train")), key, "_train")
-    sets = cut(sets)
-    linked = similar_classes(sets, threshold, cross=True)
-    m = class_members(sets)
+    sets = text_sets(rows.withColumn("_train", F.col(split) == TRAIN), key, text, width, "_train")
+    # The sets are large against the prompts and quick to make: only their keys are kept.
+    m = cut(sets.select("cls", "key", F.size("hs").alias("n")))
+    linked = similar_classes(sets, threshold, cross=True, total=m.agg(F.sum("n")).first()[0])
     both = linked.join(m.select(F.col("cls").alias("a"), F.col("key").alias("ka")), "a").join(m.select(F.col("cls").alias("b"), F.col("key").alias("kb")), "b")
     train_a = F.col("a").bitwiseAND(1) == 1
     return both.select(F.when(train_a, F.col("ka")).otherwise(F.col("kb")).alias("t"), F.when(train_a, F.col("kb")).otherwise(F.col("ka")).alias("e"))
