@@ -1,4 +1,4 @@
 """All queries of the engine's own operators by name, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quarry.plans import aggregates, curation, filters, graph, joins, scalars, series, streams  # noqa: F401
+from quarry.plans.registry import QUERIES, SQL  # noqa: F401
