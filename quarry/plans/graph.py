@@ -1 +1,194 @@
+"""Graph queries over edges derived from the test tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.core.components import connected_components
+from quarry.core.runtime import table
+from quarry.functions import text as T
+from quarry.operators import graph as G, predicates as P
+from quarry.plans.registry import query
+
+AS_OF = "2023-06-30"
+_E = f"""e AS (SELECT source_name AS source, target_name AS target, rel_type, triple_id FROM annotated_triples WHERE status = 'ACTIVE_CURRENT' AND (substr(valid_from, 1, 10) IS NULL OR substr(valid_from, 1, 10) <= '{AS_OF}') AND (substr(valid_to, 1, 10) IS NULL OR substr(valid_to, 1, 10) >= '{AS_OF}'))"""
+_ROOT = "Juntodale Industrial Controls Group Ltd."
+
+
+def current(spark, d):
+    e = P.edges_at(table(spark, d, "annotated_triples"), AS_OF, "ACTIVE_CURRENT")
+    return e.select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), "rel_type", "triple_id")
+
+
+def root(spark):
+    return spark.createDataFrame([(_ROOT,)], "node string")
+
+
+_BFS = f"""WITH RECURSIVE {_E}, w AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.target, w.d + 1 FROM w JOIN e ON e.source = w.node WHERE w.d < 2), n AS (SELECT node, min(d) AS d FROM w GROUP BY 1)"""
+
+
+@query("GRF_02", _BFS + " SELECT e.triple_id, n.d + 1 AS hop FROM e JOIN n ON n.node = e.source")
+def bfs(spark, d):
+    return G.k_hop(current(spark, d), root(spark), 3).select("triple_id", "hop")
+
+
+@query("GRF_03", f"""WITH RECURSIVE {_E}, w AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.target, w.d + 1 FROM w JOIN e ON e.source = w.node WHERE w.d < 2), u AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.source, u.d + 1 FROM u JOIN e ON e.target = u.node WHERE u.d < 2),
+wn AS (SELECT node, min(d) AS d FROM w GROUP BY 1), un AS (SELECT node, min(d) AS d FROM u GROUP BY 1),
+a AS (SELECT e.target AS node, n.d + 1 AS hop, 'DOWNSTREAM' AS role FROM e JOIN wn n ON n.node = e.source WHERE n.d < 2 UNION ALL SELECT e.source, n.d + 1, 'UPSTREAM' FROM e JOIN un n ON n.node = e.target WHERE n.d < 2 UNION ALL SELECT '{_ROOT}', 0, 'ROOT')
+SELECT node, min(hop) AS hop, CASE WHEN bool_or(role = 'ROOT') THEN 'ROOT' WHEN count(DISTINCT role) > 1 THEN 'BOTH' ELSE min(role) END AS role FROM a GROUP BY node""")
+def ego(spark, d):
+    return G.ego(current(spark, d), root(spark), 2)[0]
+
+
+@query("GRF_05", f"WITH {_E} SELECT triple_id FROM e WHERE source IN ('{_ROOT}', 'Oblonex') OR target IN ('{_ROOT}', 'Oblonex') ORDER BY triple_id LIMIT 50")
+def neighbours(spark, d):
+    return current(spark, d).where(F.col("source").isin(_ROOT, "Oblonex") | F.col("target").isin(_ROOT, "Oblonex")).select("triple_id").orderBy("triple_id").limit(50)
+
+
+@query("GRF_06", f"WITH {_E}, b AS (SELECT source AS node, target AS other FROM e UNION SELECT target, source FROM e) SELECT node, count(DISTINCT other) AS neighbours, list(DISTINCT other ORDER BY other) AS others FROM b GROUP BY node")
+def collected(spark, d):
+    e = current(spark, d)
+    b = e.select(F.col("source").alias("node"), F.col("target").alias("other")).union(e.select("target", "source")).distinct()
+    return b.groupBy("node").agg(F.count("*").alias("neighbours"), F.array_sort(F.collect_list("other")).alias("others"))
+
+
+_DIST = f"""WITH RECURSIVE {_E}, w AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.target, w.d + 1 FROM w JOIN e ON e.source = w.node WHERE w.d < 12) SELECT node, min(d) AS dist FROM w GROUP BY 1"""
+
+
+@query("GRF_07", _DIST)
+def distances(spark, d):
+    return G.hop_distances(current(spark, d), root(spark), 12)
+
+
+@query("GRF_15", f"""WITH RECURSIVE {_E}, x AS (SELECT source AS u, target AS v FROM e WHERE rel_type = 'SUBSIDIARY_OF' AND source <> target), b AS (SELECT u, v FROM x UNION SELECT v, u FROM x),
+w AS (SELECT u AS node, u AS c FROM b UNION SELECT b.v, w.c FROM w JOIN b ON b.u = w.node) SELECT node, min(c) AS component FROM w GROUP BY 1""")
+def components(spark, d):
+    return connected_components(current(spark, d).where("rel_type = 'SUBSIDIARY_OF'"), "source", "target")
+
+
+@query("GRF_16", f"""WITH t AS (SELECT least(source_name, target_name) AS a, greatest(source_name, target_name) AS b, min(strftime(extracted_at, '%Y-%m-%d')) AS day FROM annotated_triples WHERE status <> 'ACTIVE_CURRENT' GROUP BY 1, 2)
+SELECT triple_id, CASE WHEN day IS NOT NULL AND (valid_to IS NULL OR valid_to > day) THEN day ELSE valid_to END AS valid_to FROM annotated_triples LEFT JOIN t ON a = least(source_name, target_name) AND b = greatest(source_name, target_name)""")
+def closed(spark, d):
+    e = table(spark, d, "annotated_triples").select("triple_id", "status", "valid_to", F.col("source_name").alias("source"), F.col("target_name").alias("target"), F.date_format("extracted_at", "yyyy-MM-dd").alias("day"))
+    return G.close_states(e.drop("day"), e.where("status <> 'ACTIVE_CURRENT'")).select("triple_id", "valid_to")
+
+
+@query("GRF_17", "WITH d AS (SELECT node FROM (SELECT source_name AS node FROM annotated_triples UNION ALL SELECT target_name FROM annotated_triples) GROUP BY 1 HAVING count(*) >= 25) SELECT triple_id FROM annotated_triples WHERE source_name NOT IN (FROM d) AND target_name NOT IN (FROM d)")
+def quarantined(spark, d):
+    e = table(spark, d, "annotated_triples").select("triple_id", F.col("source_name").alias("source"), F.col("target_name").alias("target"))
+    return G.quarantine(e)[0].select("triple_id")
+
+
+_ONT = ", ".join(f"('{r}', {a.split()}, {b.split()}, {str(s).lower()})" for r, (a, b, s) in G.ONTOLOGY.items())
+
+
+@query("GRF_18", f"""WITH o AS (SELECT * FROM (VALUES {_ONT}) t(relation, dom, rng, sym)), a AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v[0]}', {str(v[1]).lower()})" for k, v in G.ALIASES.items())}) t(raw, rel, swap)),
+x AS (SELECT triple_id, coalesce(rel, rel_type) AS relation, CASE WHEN swap THEN target_name ELSE source_name END AS s, CASE WHEN swap THEN source_name ELSE target_name END AS t, upper(CASE WHEN swap THEN target_type ELSE source_type END) AS sl, upper(CASE WHEN swap THEN source_type ELSE target_type END) AS tl FROM annotated_triples LEFT JOIN a ON raw = rel_type),
+y AS (SELECT x.*, sym, list_contains(dom, sl) AND list_contains(rng, tl) AS ok, list_contains(dom, tl) AND list_contains(rng, sl) AS turn FROM x JOIN o USING (relation)), z AS (SELECT triple_id, relation, sym, CASE WHEN ok THEN s ELSE t END AS s, CASE WHEN ok THEN t ELSE s END AS t FROM y WHERE ok OR turn)
+SELECT triple_id, relation, CASE WHEN sym AND s > t THEN t ELSE s END AS source, CASE WHEN sym AND s > t THEN s ELSE t END AS target FROM z""")
+def ontology(spark, d):
+    e = table(spark, d, "annotated_triples").withColumnsRenamed({"source_name": "source", "target_name": "target"})
+    return G.oriented(spark, e).select("triple_id", "relation", "source", "target")
+
+
+@query("GRF_19", "SELECT triple_id, least(source_name, target_name) AS a, greatest(source_name, target_name) AS b FROM annotated_triples WHERE rel_type IN ('COMPETES_WITH', 'PARTNERED_WITH')")
+def ordered(spark, d):
+    e = table(spark, d, "annotated_triples").where(F.col("rel_type").isin("COMPETES_WITH", "PARTNERED_WITH"))
+    return e.select("triple_id", F.least("source_name", "target_name").alias("a"), F.greatest("source_name", "target_name").alias("b"))
+
+
+_NODE = "SELECT DISTINCT company_name AS id FROM sp500_constituents"
+_KEY = "coalesce(nullif(array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(trim(id)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\S+'), lambda w: w NOT IN (" + ", ".join(f"'{s}'" for s in T.ENTITY_SUFFIXES) + ")), ' '), ''), regexp_replace(lower(trim(id)), '[^\\p{L}\\p{N}\\s]', '', 'g'))"
+
+
+@query("GRF_21", f"""WITH n AS (SELECT id, {_KEY} AS k FROM ({_NODE})), b AS (SELECT k, min_by(id, (-length(id), id)) AS canonical, count(*) AS mention_count FROM n GROUP BY 1) SELECT id, canonical, mention_count FROM n JOIN b USING (k)""")
+def resolved(spark, d):
+    n = table(spark, d, "sp500_constituents").select(F.col("company_name").alias("id")).distinct().withColumn("k", T.entity_key(F.col("id")))
+    star = n.groupBy("k").agg(F.min("id").alias("a"))
+    links = n.join(star, "k").where("id <> a").select("a", F.col("id").alias("b"))
+    return G.resolve(n, links)
+
+
+@query("GRF_22", """WITH m AS (SELECT source_name AS node, min(source_cik) AS c FROM annotated_triples WHERE source_cik IS NOT NULL GROUP BY 1), r AS (SELECT coalesce(a.c, source_name) AS s, coalesce(b.c, target_name) AS t, rel_type, confidence, triple_id FROM annotated_triples LEFT JOIN m a ON a.node = source_name LEFT JOIN m b ON b.node = target_name)
+SELECT s AS source, t AS target, rel_type, count(*) AS evidence, max(confidence) AS confidence FROM r WHERE s <> t GROUP BY 1, 2, 3""")
+def rewired_merged(spark, d):
+    from quarry.plans.joins import rewired
+
+    e = rewired(spark, d).join(table(spark, d, "annotated_triples").select("triple_id", "rel_type", "confidence"), "triple_id")
+    return e.groupBy("source", "target", "rel_type").agg(F.count("*").alias("evidence"), F.max("confidence").alias("confidence"))
+
+
+@query("GRF_24", f"WITH {_E} SELECT DISTINCT a.source AS supplier, a.target AS via, b.target AS customer FROM e a JOIN e b ON a.target = b.source AND a.rel_type = 'SUPPLIES_TO' AND b.rel_type = 'SUPPLIES_TO' AND a.source <> b.target")
+def pattern(spark, d):
+    e = current(spark, d).where("rel_type = 'SUPPLIES_TO'")
+    a, b = e.select(F.col("source").alias("supplier"), F.col("target").alias("via")), e.select(F.col("source").alias("via"), F.col("target").alias("customer"))
+    return a.join(b, "via").where("supplier <> customer").distinct()
+
+
+@query("GRF_25", _BFS + """, h AS (SELECT e.source || ' -[' || rel_type || ']-> ' || e.target AS line, n.d + 1 AS hop FROM e JOIN n ON n.node = e.source) SELECT hop, string_agg(DISTINCT line, chr(10) ORDER BY line) AS words FROM h GROUP BY hop""")
+def verbalised(spark, d):
+    x = G.k_hop(current(spark, d), root(spark), 3)
+    line = F.format_string("%s -[%s]-> %s", "source", "rel_type", "target")
+    return x.select("hop", line.alias("line")).distinct().groupBy("hop").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("words"))
+
+
+def shock_edges(spark, d):
+    """Suppliers to customers by brand, customers to nations by segment, nations to regions; shares sum to 1 per target and group."""
+    li, o, p = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "part")
+    x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    one = x.groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("target"), F.col("p_brand").alias("input_group")).agg(F.count("*").alias("x"))
+    c = table(spark, d, "customer")
+    two = c.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("target"), F.col("c_mktsegment").alias("input_group"), F.lit(1).cast("long").alias("x"))
+    three = table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("source"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("target"), F.lit("ALL").alias("input_group"), F.lit(1).cast("long").alias("x"))
+    e = one.unionByName(two).unionByName(three)
+    total = e.groupBy("target", "input_group").agg(F.sum("x").alias("total"))
+    return e.join(total, ["target", "input_group"]).select("source", "target", "input_group", (F.col("x") / F.col("total")).alias("share"), F.lit(0.0).alias("buffer_days"))
+
+
+_SHOCK = """WITH x1 AS (SELECT 'S' || l_suppkey AS source, 'C' || o_custkey AS target, p_brand AS input_group, count(*) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3),
+x AS (FROM x1 UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, c_mktsegment, 1 FROM customer UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 'ALL', 1 FROM nation),
+e AS (SELECT source, target, input_group, x / sum(x) OVER (PARTITION BY target, input_group) AS a FROM x),
+n AS (SELECT source AS node FROM e UNION SELECT target FROM e), h0 AS (SELECT node, CASE WHEN node IN ('S1', 'S7') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS h FROM n),
+""" + ",\n".join(f"g{i} AS (SELECT target, max(least(1.0, s)) AS v FROM (SELECT target, input_group, sum(a * h) AS s FROM e JOIN h{i - 1} ON node = source WHERE h > 0 GROUP BY 1, 2) GROUP BY 1), h{i} AS (SELECT b.node, greatest(b.h, coalesce(v, 0)) AS h FROM h0 b LEFT JOIN g{i} ON target = b.node)" for i in (1, 2, 3))
+
+
+@query("GRF_11", _SHOCK + """ SELECT node AS target_entity, round(h * 100, 4) AS peak_shock_pct, round(h, 6) AS impairment_score, CASE WHEN h > 0 THEN 0.0 END AS onset_day, CASE WHEN h > 0 THEN 30.0 ELSE 0.0 END AS downtime_days, round(h * CASE WHEN h > 0 THEN 30.0 ELSE 0.0 END, 4) AS lost_capacity_days,
+h = 0 AS is_out_of_horizon, false AS is_friction_floor, CASE WHEN round(h * 100, 4) >= 25 THEN 'DISRUPTIVE_SHOCK' WHEN round(h * 100, 4) > 0 THEN 'CONTAINED_MINIMAL_CONTAGION' ELSE 'NEUTRAL_UNAFFECTED' END AS verdict FROM h3""")
+def shock_cascade(spark, d):
+    shocks = spark.createDataFrame([("S1", 100.0, 30.0, 0.0), ("S7", 1.0, 30.0, 0.0)], "node string, shock double, duration double, onset double")
+    return G.cascade(shock_edges(spark, d), shocks, acyclic=True)
+
+
+@query("AGG_08", _SHOCK + " SELECT target, round(v, 6) AS v FROM g1")
+def leontief(spark, d):
+    h = shock_edges(spark, d).where(F.col("source").isin("S1", "S7"))
+    g = h.groupBy("target", "input_group").agg(F.least(F.lit(1.0), F.sum("share")).alias("s"))
+    return g.groupBy("target").agg(F.round(F.max("s"), 6).alias("v"))
+
+
+@query("GRF_08")
+def cycles(spark, d):
+    return G.strong_components(current(spark, d).where("rel_type in ('SUPPLIES_TO', 'SUBSIDIARY_OF', 'PARTNERED_WITH', 'COMPETES_WITH')"))
+
+
+@query("GRF_09")
+def feedback(spark, d):
+    return G.feedback_edges(current(spark, d).where("rel_type in ('SUPPLIES_TO', 'PARTNERED_WITH')"), root(spark))
+
+
+@query("GRF_10")
+def radius(spark, d):
+    e = current(spark, d).where("rel_type in ('SUPPLIES_TO', 'PARTNERED_WITH')").withColumn("share", F.lit(0.5))
+    return spark.createDataFrame([(round(G.spectral_radius(e), 4),)], "spectral_radius double")
+
+
+@query("GRF_14")
+def ownership(spark, d):
+    e = table(spark, d, "annotated_triples").where("rel_type in ('SUBSIDIARY_OF', 'OWNS', 'SUPPLIES_TO')")
+    e = e.select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), "confidence", F.col("triple_id").alias("ordinal"))
+    return G.acyclic_ownership(e)[1]
+
+
+@query("GRF_01", """SELECT triple_id FROM annotated_triples WHERE status = 'ACTIVE_CURRENT'""")
+def status_scan(spark, d):
+    return P.edges_at(table(spark, d, "annotated_triples"), None, "ACTIVE_CURRENT").select("triple_id")
