@@ -1 +1,38 @@
+"""Streaming queries: the events table as a file stream, run until nothing is left."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.core.runtime import table
+from quarry.plans.registry import query
+from quarry.streaming import events as S
+
+
+def stream(spark, d):
+    s = S.file_stream(spark, d, "events.parquet", table(spark, d, "events").schema)
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("STR_02", "SELECT user_id, event_type FROM events GROUP BY 1, 2")
+def replay_safe(spark, d):
+    return S.run_available(stream(spark, d).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]))
+
+
+@query("STR_04", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'dlt_malformed' WHEN event_id % 7 = 0 THEN 'dlt_missing_fields' WHEN event_id % 5 = 0 THEN 'skipped_empty' ELSE 'processed' END AS route FROM events")
+def routing(spark, d):
+    body = F.to_json(F.struct(F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("raw_payload"), F.lit("2024-01-01").alias("fetched_at"), F.when(F.col("event_id") % 7 != 0, F.md5(F.col("event_id").cast("string"))).alias("source_hash")))
+    x = stream(spark, d).select("event_id", F.when(F.col("event_id") % 11 == 0, "{broken").otherwise(body).alias("value"))
+    return S.run_available(S.routed(x).select("event_id", "route"))
+
+
+@query("STR_06", """WITH x AS (SELECT user_id, value < 30 AS f, sum((value >= 30)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events), y AS (SELECT *, max(g) OVER (PARTITION BY user_id) AS m FROM x)
+SELECT user_id, sum((f AND g = m)::INT)::BIGINT AS consecutive, sum((f AND g = m)::INT) >= 3 AS blacklisted FROM y GROUP BY 1""")
+def failures(spark, d):
+    return S.failure_state(table(spark, d, "events").withColumn("bad", F.col("value") < 30), "user_id", ["ts", "event_id"], "bad")
+
+
+@query("EXT_window", "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def windows(spark, d):
+    s = stream(spark, d).withWatermark("ts", "1 day").groupBy("event_type", F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return S.run_available(s, "complete").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
