@@ -12,9 +12,12 @@ from quarry.core.runtime import cut
 
 def shingles(text: Column, width: int = 5) -> Column:
     """Distinct word shingles of lower-case text; fewer words give one shingle of them all, none gives none."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    many = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.array_join(F.slice(w, i + 1, width), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < width, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(many))
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.array_join(F.slice(w, i + 1, width), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < width, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(many))
+
+    # The words are bound once as a lambda variable; written in place they would be found anew for every shingle.
+    return F.get(F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)), of), 0)
 
 
 def shingle_hashes(text: Column, width: int = 5) -> Column:
