@@ -28,7 +28,7 @@ from quarry.llm.boosting import Booster
 from quarry.llm.tokens import SPACED, buffers, mix, token_hashes
 
 #: Bound on the labelled pages that the classifier is fitted on.
-SAMPLE_PAGES = 1000
+SAMPLE_PAGES = 1500
 #: Bound on the pages without markup that widen its vocabulary.
 SAMPLE_PLAIN = 2500
 TOKEN_FLOOR = 4
@@ -333,8 +333,15 @@ def fit_from(rows: DataFrame, text: str = "raw_text", url: str = "source_url", p
     t = F.col(text)
     site = F.coalesce(F.nullif(F.substring_index(host_of(F.col(url)), ".", -2), F.lit("")), F.lower(F.col(provider)))
     all_rows = rows.select(t.alias("t"), site.alias("site"), F.xxhash64(t).alias("h"), t.rlike("<p[ >]").alias("marked")).where("t is not null")
-    marked = [r.t for r in all_rows.where("marked").select("t", "h").orderBy("h").limit(SAMPLE_PAGES).collect()]
-    plain = all_rows.where("not marked").select("t", "site", "h").orderBy("h").limit(SAMPLE_PLAIN).collect()
+    total, tagged = all_rows.agg(F.count("*"), F.coalesce(F.sum(F.col("marked").cast("long")), F.lit(0))).first()
+
+    def sample(rows: DataFrame, there: int, most: int) -> DataFrame:
+        # A share of the hashes that holds enough: else every task would send its own ``most`` pages to the driver.
+        share = int(1_000_003 * min(1.0, (1.5 * most + 50) / max(there, 1)))
+        return rows.where(F.pmod("h", F.lit(1_000_003)) < max(share, 1)).orderBy("h").limit(most)
+
+    marked = [r.t for r in sample(all_rows.where("marked").select("t", "h"), tagged, SAMPLE_PAGES).collect()]
+    plain = sample(all_rows.where("not marked").select("t", "site", "h"), total - tagged, SAMPLE_PLAIN).collect()
     texts = [r.t for r in plain]
     return fit_pages(marked or texts, texts, [r.site for r in plain])
 
