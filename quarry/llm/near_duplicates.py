@@ -4,8 +4,8 @@ Sets whose sizes fall in one band (a power of two; a set also signs in the band
 partner may lie there) split the 32-bit shingle domain into ``n1`` partitions of ``N2``
 cells.  Each subset of ``N2 - K2`` cells of a partition gives one signature: the hash of
 all shingles in it.  Two sets that differ in at most ``n1 * (K2 + 1) - 1`` shingles
-provably share a signature; ``n1`` is sized so that pairs at the similarity threshold, up
-to twice that distance, have about seven in expectation (measured recall: README).
+provably share a signature; ``n1`` is sized for the largest sets of a band, so that pairs at
+the similarity threshold miss each other once in a thousand (measured recall: README).
 
 Signatures travel as column blocks, one row per map batch and reduce partition, six bytes a
 signature.  A reduce task sorts its signatures and pairs equal ones.  Copies collapse to
@@ -17,6 +17,7 @@ are joined again by exact prefix filtering, so nothing is lost.  Candidates pass
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ N2, K2 = 4, 2
 HOT = 2000
 #: Bands up to this size have signatures without any chance of a miss.
 EXACT_BAND = 16
+#: Largest share of pairs at the threshold that the signatures of a larger band may miss.
+MISS = 0.001
 BINS = 64
 BROADCAST_KEYS = 200_000
 SUBSETS = tuple(combinations(range(N2), N2 - K2))
@@ -80,14 +83,26 @@ def partition_size(threshold: float) -> float:
 
 
 def partitions(level: int, group: float, threshold: float) -> int:
-    """Partitions of the band from ``level``; small sets get so many that every pair provably shares a signature."""
+    """Partitions of the band from ``level``: enough that its largest and least similar pairs fail to share a
+    signature at most ``MISS`` of the time; small sets get so many that every pair provably shares one."""
     n1 = max(int(level * 1.4 / group), 1)
-    if level <= EXACT_BAND and threshold > 0:
-        apart = (1 - threshold) / (1 + threshold) * 2 * level * (1 + 1 / threshold)
-        n1 = max(n1, -(-(int(apart) + 1) // (K2 + 1)))
+    if threshold <= 0:
+        return n1
+    apart = (1 - threshold) / (1 + threshold) * 2 * level * (1 + 1 / threshold)
+    sure = -(-(int(apart) + 1) // (K2 + 1))
+    if level <= EXACT_BAND:
+        return max(n1, sure)
+    while n1 < sure and missed(n1, apart) > MISS:
+        n1 += 1
     return n1
 
 
+def missed(n1: int, apart: float) -> float:
+    """Chance that sets ``apart`` shingles from each other share none of the signatures of ``n1`` partitions."""
+    clean = (1 - 1 / (n1 * N2)) ** apart
+    return sum(comb(N2, i) * clean**i * (1 - clean) ** (N2 - i) for i in range(N2 - K2)) ** n1
+
+
 def sketches(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """Four bits for each of ``BINS`` bins of the domain: 1 to 15 by the least mixed hash in it, 0 if empty."""
     at = doc * BINS + ((h.astype(np.uint64) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)

@@ -117,6 +117,18 @@ def test_similar_sets_find_what_brute_force_finds(spark, threshold):
     assert not got - want and len(want - got) <= 0.03 * len(want)
 
 
+@pytest.mark.parametrize("size, similarity, threshold", [(63, 0.7, 0.7), (63, 0.75, 0.7), (56, 0.72, 0.7), (125, 0.71, 0.7), (250, 0.71, 0.7), (60, 0.6, 0.6), (125, 0.6, 0.6)])
+def test_pairs_at_the_top_of_a_band_share_a_signature(size, similarity, threshold):
+    rng = np.random.default_rng(6)
+    common = int(np.ceil(2 * size * similarity / (1 + similarity)))
+    found = 0
+    for _ in range(300):
+        u = rng.choice(1 << 32, 2 * size - common, replace=False).astype(np.uint32)
+        s, d = N.signatures(np.concatenate([np.sort(u[:size]), np.sort(u[size - common :])]), np.array([size, size]), threshold)
+        found += bool(set(s[d == 0]) & set(s[d == 1]))
+    assert found >= 297
+
+
 def test_hot_signatures_lose_nothing(spark, monkeypatch):
     rng = random.Random(3)
     base = text(rng, 120)
