@@ -57,6 +57,35 @@ def trigram(spark, d):
     return x.select("a", "b", F.round(T.set_similarity(F.col("ga"), F.col("gb")), 6).alias("sim"))
 
 
+# SCA_04 to SCA_06 and their SQL compare names of one prefix; the queries below score every pair of the (bounded) list of names.
+_PAIRS = f"WITH n AS (SELECT id, {TRI.format('id')} AS g FROM {_N}), p AS (SELECT a.id AS a, b.id AS b, a.g AS ga, b.g AS gb FROM n a JOIN n b ON a.id < b.id)"
+
+
+def name_pairs(spark, d):
+    n = names(spark, d)
+    return n.withColumnRenamed("id", "a").crossJoin(n.withColumnRenamed("id", "b")).where("a < b")
+
+
+@query("SCA_04_all", f"{_PAIRS} SELECT a, b, round(jaro_winkler_similarity(a, b), 4) AS jw FROM p WHERE jaro_winkler_similarity(a, b) >= 0.88")
+def jaro_winkler_all(spark, d):
+    x = name_pairs(spark, d).select("a", "b", C.jaro_winkler(F.col("a"), F.col("b")).alias("jw")).where("jw >= 0.88")
+    return x.withColumn("jw", F.round("jw", 4))
+
+
+@query("SCA_05_all", f"{_PAIRS} SELECT a, b, levenshtein(a, b) AS dist FROM p WHERE levenshtein(a, b) <= 6")
+def edit_distance_all(spark, d):
+    # Names whose lengths differ by more than 6 are further apart than that.
+    x = name_pairs(spark, d).where("abs(length(a) - length(b)) <= 6")
+    return x.select("a", "b", F.levenshtein("a", "b", 6).cast("long").alias("dist")).where("dist >= 0")
+
+
+@query("SCA_06_all", f"{_PAIRS} SELECT a, b, round(len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))), 6) AS sim FROM p")
+def trigram_all(spark, d):
+    n = names(spark, d).select("id", T.trigrams(F.col("id")).alias("g"))
+    x = n.withColumnsRenamed({"id": "a", "g": "ga"}).crossJoin(n.withColumnsRenamed({"id": "b", "g": "gb"})).where("a < b")
+    return x.select("a", "b", F.round(T.set_similarity(F.col("ga"), F.col("gb")), 6).alias("sim"))
+
+
 @query("SCA_07", "SELECT id, regexp_replace(regexp_extract(lower(source_url), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1), '^www\\.', '') AS dom FROM financial_news_queue")
 def domains(spark, d):
     return table(spark, d, "financial_news_queue").select("id", T.url_domain(F.col("source_url")).alias("dom"))

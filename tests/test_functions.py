@@ -71,3 +71,13 @@ def test_write_once_is_replay_safe(spark, tmp_path):
         q = S.write_once(spark.readStream.schema(df.schema).parquet(src), out, str(tmp_path / "ck"), "k")
         q.awaitTermination()
         assert spark.read.parquet(out).count() == 2
+
+
+def test_names_of_any_prefix_are_compared(spark, tmp_path):
+    from quarry.plans.catalogue import QUERIES
+
+    rows = [("Acme Corp",), ("Bcme Corp",), ("Zenith Holdings",), ("Acme Corp",)]
+    spark.createDataFrame(rows, "company_name string").write.parquet(str(tmp_path / "sp500_constituents.parquet"))
+    assert [tuple(r) for r in QUERIES["SCA_05_all"](spark, str(tmp_path)).collect()] == [("Acme Corp", "Bcme Corp", 1)]
+    assert [tuple(r)[:2] for r in QUERIES["SCA_04_all"](spark, str(tmp_path)).collect()] == [("Acme Corp", "Bcme Corp")]
+    assert {tuple(r)[:2] for r in QUERIES["SCA_06_all"](spark, str(tmp_path)).collect()} == {("Acme Corp", "Bcme Corp"), ("Acme Corp", "Zenith Holdings"), ("Bcme Corp", "Zenith Holdings")}
