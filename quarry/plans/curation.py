@@ -43,6 +43,33 @@ def kept(spark, d):
     return C.survivors(classes, links, rows, "doc_id", "n_chars")
 
 
+# The queries above and their SQL take documents labelled 'en' alone; those below take the whole table.
+# Their SQL would be too slow, so tests compare them with brute force.
+
+
+@query("CUR_01_all")
+def shingles_all(spark, d):
+    x = table(spark, d, "documents").select("doc_id", C.shingle_hashes(F.col("text")).alias("h")).where("size(h) > 0")
+    return x.select("doc_id", F.size("h").alias("n"), F.lower(F.lpad(F.hex(F.array_min("h")), 8, "0")).alias("least"))
+
+
+@query("CUR_03_all")
+def near_duplicates_all(spark, d):
+    return C.duplicate_links(table(spark, d, "documents"), "doc_id", "text")[1]
+
+
+@query("CUR_03_classes_all")
+def duplicate_classes_all(spark, d):
+    return C.duplicate_links(table(spark, d, "documents"), "doc_id", "text")[0]
+
+
+@query("CUR_03_kept_all")
+def kept_all(spark, d):
+    rows = table(spark, d, "documents")
+    classes, links = C.duplicate_links(rows, "doc_id", "text")
+    return C.survivors(classes, links, rows, "doc_id", "n_chars")
+
+
 @query("TOP_01", """SELECT a.vec_id AS query, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) <= 10""")
 def vector_search(spark, d):

@@ -81,3 +81,35 @@ def test_names_of_any_prefix_are_compared(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["SCA_05_all"](spark, str(tmp_path)).collect()] == [("Acme Corp", "Bcme Corp", 1)]
     assert [tuple(r)[:2] for r in QUERIES["SCA_04_all"](spark, str(tmp_path)).collect()] == [("Acme Corp", "Bcme Corp")]
     assert {tuple(r)[:2] for r in QUERIES["SCA_06_all"](spark, str(tmp_path)).collect()} == {("Acme Corp", "Bcme Corp"), ("Acme Corp", "Zenith Holdings"), ("Bcme Corp", "Zenith Holdings")}
+
+
+def test_documents_of_any_label_are_compared(spark, tmp_path):
+    import hashlib
+    import random
+    import re
+
+    from quarry.plans.catalogue import QUERIES
+
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(200)] + ["ärger", "новости", "株式"]
+    base = [[rng.choice(vocab) for _ in range(80)] for _ in range(6)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:78] + ["new", "end"]) for w in base] + [" ".join(base[0]).upper(), "two words", "", None]
+    langs = ["en", "EN", "eng", "de", None, "ru"]
+    rows = [(i, t, langs[i % 6] if i < 6 else langs[(i + 1) % 6], len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def hashes(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        g = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
+        return frozenset(int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in g)
+
+    sets = {i: hashes(t) for i, t, _, _ in rows if hashes(t)}
+    least = {}
+    for i, h in sets.items():
+        least.setdefault(h, i)
+    cls = sorted(least.values())
+    links = {(a, b) for a in cls for b in cls if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85}
+    assert {(r.doc_id, r.n, r.least) for r in QUERIES["CUR_01_all"](spark, str(tmp_path)).collect()} == {(i, len(h), f"{min(h):08x}") for i, h in sets.items()}
+    assert len(links) == 6 and {(r.a, r.b) for r in QUERIES["CUR_03_all"](spark, str(tmp_path)).collect()} == links
+    assert {(r.doc_id, r.cls) for r in QUERIES["CUR_03_classes_all"](spark, str(tmp_path)).collect()} == {(i, least[h]) for i, h in sets.items()}
+    assert len(QUERIES["CUR_03_kept_all"](spark, str(tmp_path)).collect()) == len(cls) - len(links)
