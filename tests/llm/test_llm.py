@@ -86,6 +86,14 @@ def test_name_variants(spark):
     assert names.collision(0.54) > 0.97
 
 
+def test_initials_join_though_the_given_name_is_the_core(spark):
+    full = ["Tariq Aurtoberg", "Aurtoberg, Tariq", "TARIQ AURTOBERG", "Tariq Belmonte", "Belmonte, Tariq", "Tariq Corvinus", "Corvinus, Tariq"]
+    rows = [(n, True, False) for n in [*full, "T. Aurtoberg", "T. Belmonte", "X. Belmonte", "Mats Dovrefjell", "Mona Dovrefjell", "M. Dovrefjell", "Tariq"]]
+    got = {r.name: r.entity for r in names.link_names(spark.createDataFrame(rows, "name string, person boolean, official boolean")).collect()}
+    assert got["T. Aurtoberg"] == got["Tariq Aurtoberg"] != got["T. Belmonte"] == got["Tariq Belmonte"]
+    assert got["X. Belmonte"] != got["Tariq Belmonte"] and "M. Dovrefjell" not in got and "Tariq" not in got
+
+
 # 5 and 7
 def brute(sets, t):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
