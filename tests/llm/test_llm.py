@@ -94,6 +94,27 @@ def test_initials_join_though_the_given_name_is_the_core(spark):
     assert got["X. Belmonte"] != got["Tariq Belmonte"] and "M. Dovrefjell" not in got and "Tariq" not in got
 
 
+def test_misspelt_tokens_meet_at_every_length(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = []
+    for n in (4, 5, 6, 7, 8, 9, 11, 12, 14, 20):
+        for _ in range(12):
+            w = "".join(rng.choice(letters) for _ in range(n))
+            i = rng.randrange(n - 1)
+            v = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+            if n >= 6:
+                j = rng.randrange(n)
+                v = v[:j] + rng.choice(letters) + v[j + 1 :]
+            pairs += [(w, v)] if v != w else []
+            pairs += [(w, w[: n - 3])] if n in (12, 14) else [(w, w[:-1])] if n > 4 else []
+    rows = {w: 3 for w, _ in pairs} | {v: 0 for _, v in pairs}
+    got = {(r.a, r.b) for r in names._token_links(spark.createDataFrame(list(rows.items()), "token string, proof long")).collect()}
+    tokens_ = sorted(rows)
+    want = {(s, t) for s in tokens_ for t in tokens_ if s != t and rows[s] < 3 and (rows[t], t) > (rows[s], s) and names.osa(s, t, names.allowed(max(len(s), len(t)))) <= names.allowed(max(len(s), len(t)))}
+    assert got == want and len(want) >= 150
+
+
 # 5 and 7
 def brute(sets, t):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
