@@ -74,12 +74,12 @@ def ego(edges: DataFrame, roots: DataFrame, hops: int) -> tuple[DataFrame, DataF
     return nodes, down.unionByName(up.select(down.columns)).groupBy(*keys).agg(F.min("hop").alias("hop"))
 
 
-def hop_distances(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
-    """``(node, dist)`` of every node reachable from the seeds."""
+def hop_distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """``(node, dist)`` of every node reachable from the seeds, within ``most`` hops if given."""
     e = edges.select("source", "target").distinct()
     seen = cut(seeds.select(F.col(seeds.columns[0]).alias("node"), F.lit(0).alias("dist")).distinct())
     frontier = seen
-    for d in range(1, most + 1):
+    for d in itertools.count(1) if most is None else range(1, most + 1):
         nxt = e.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
         frontier = cut(nxt.join(seen, "node", "left_anti").withColumn("dist", F.lit(d)))
         if frontier.isEmpty():
@@ -99,7 +99,7 @@ def strong_components(edges: DataFrame, most: int = 50) -> DataFrame:
     loops = cut(e.where("u = v").select(F.col("u").alias("node")))
     e = cut(e.where("u <> v"))
     out = spark.createDataFrame([], "node string, scc string")
-    for _ in range(most):
+    for rounds in range(most + 1):
         while True:
             n = e.count()
             t = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
@@ -108,6 +108,8 @@ def strong_components(edges: DataFrame, most: int = 50) -> DataFrame:
                 break
         if n == 0:
             break
+        if rounds == most:
+            raise RuntimeError("strong components did not settle within most rounds")
         color = cut(e.select(F.col("u").alias("node")).union(e.select("v")).distinct().withColumn("c", F.col("node")))
         while True:
             low = e.join(color.select(F.col("node").alias("u"), "c"), "u").groupBy(F.col("v").alias("node")).agg(F.min("c").alias("d"))
@@ -144,8 +146,8 @@ def feedback_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def spectral_radius(edges: DataFrame, share: str = "share", largest: int = 2000) -> float:
     """Largest absolute eigenvalue of the weighted adjacency; 0.0 for a graph without cycles.
 
-    Only strong components matter.  Each is solved exactly up to ``largest`` nodes, and
-    bounded from above by its largest row sum beyond.
+    Only strong components matter.  Each is solved exactly up to ``largest`` nodes, and by
+    distributed power iteration beyond.  Shares are not negative.
     """
     import numpy as np
 
@@ -155,7 +157,7 @@ def spectral_radius(edges: DataFrame, share: str = "share", largest: int = 2000)
     a, b = scc.select(F.col("node").alias("source"), "scc"), scc.select(F.col("node").alias("target"), F.col("scc").alias("_s"))
     inner = cut(edges.join(a, "source").join(b, "target").where("scc = _s").groupBy("scc", "source", "target").agg(F.sum(share).alias("w")))
     sizes = scc.groupBy("scc").agg(F.count("*").alias("n"))
-    big = inner.join(sizes.where(F.col("n") > largest), "scc", "left_semi").groupBy("scc", "source").agg(F.sum("w").alias("w")).agg(F.max("w")).first()[0]
+    big = [_perron(inner.where(F.col("scc") == r[0])) for r in sizes.where(F.col("n") > largest).select("scc").toLocalIterator()]  # few: each is large
 
     def radius(pdf):
         nodes = {x: i for i, x in enumerate(sorted(set(pdf.source) | set(pdf.target)))}
@@ -165,7 +167,31 @@ def spectral_radius(edges: DataFrame, share: str = "share", largest: int = 2000)
         return type(pdf)({"rho": [float(np.abs(np.linalg.eigvals(m)).max())]})
 
     small = inner.join(sizes.where(F.col("n") <= largest), "scc", "left_semi").groupBy("scc").applyInPandas(radius, "rho double").agg(F.max("rho")).first()[0]
-    return float(max(small or 0.0, big or 0.0))
+    return float(max([small or 0.0, *big]))
+
+
+def _perron(inner: DataFrame, tolerance: float = 1e-6, most: int = 500) -> float:
+    """Radius of one strong component by power iteration on the matrix plus a multiple of the identity.
+
+    The shift makes the matrix primitive, and the least and largest growth of a positive
+    vector enclose the radius (Collatz and Wielandt), so the tolerance holds for the result.
+    """
+    e = cut(inner.select("source", "target", "w"))
+    if e.where("w < 0").limit(1).count():
+        raise ValueError("shares of a large component must not be negative")
+    e = e.where("w > 0")
+    shift = e.groupBy("source").agg(F.sum("w").alias("w")).agg(F.avg("w")).first()[0]
+    if shift is None:
+        return 0.0
+    x = cut(e.select(F.col("source").alias("node")).union(e.select("target")).distinct().withColumn("x", F.lit(1.0)))
+    for _ in range(most):
+        y = e.join(x.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+        y = cut(x.join(y, "node", "left").select("node", "x", (F.coalesce("y", F.lit(0.0)) + F.lit(shift) * F.col("x")).alias("y")))
+        low, high, top = y.agg(F.min(F.col("y") / F.col("x")), F.max(F.col("y") / F.col("x")), F.max("y")).first()
+        if high - low <= tolerance * max(high - shift, shift):
+            return (low + high) / 2 - shift
+        x = y.select("node", (F.col("y") / F.lit(top)).alias("x"))
+    raise RuntimeError("the spectral radius did not settle within most rounds")
 
 
 def cascade(edges: DataFrame, shocks: DataFrame, rounds: int = 5, gamma: float = 0.5, tolerance: float = 1e-9, floor: float = 0.05, threshold_pct: float = 25.0, acyclic: bool = False) -> DataFrame:

@@ -61,3 +61,23 @@ def test_ontology_turns_and_rejects(spark):
     rows = [("p", "c", "PERSON", "COMPANY", "CEO_OF"), ("c", "p", "COMPANY", "PERSON", "CEO_OF"), ("z", "a", "COMPANY", "COMPANY", "COMPETES_WITH"), ("x", "y", "PRODUCT", "PERSON", "SUPPLIES_TO"), ("a", "b", None, "COMPANY", "SUPPLIED_BY"), ("a", "b", "COMPANY", "COMPANY", "NO_SUCH")]
     out = G.oriented(spark, spark.createDataFrame(rows, "source string, target string, source_type string, target_type string, rel_type string")).collect()
     assert sorted((r.source, r.target, r.relation) for r in out) == [("a", "z", "COMPETES_WITH"), ("b", "a", "SUPPLIES_TO"), ("p", "c", "CEO_OF"), ("p", "c", "CEO_OF")]
+
+
+def test_spectral_radius_of_a_large_component_is_no_bound(spark):
+    import numpy as np
+    import pytest
+
+    pairs = [("h", f"n{i}", 0.5) for i in range(6)] + [(f"n{i}", "h", 0.5) for i in range(6)] + [("n0", "n1", 0.5)]
+    names = sorted({p[0] for p in pairs})
+    m = np.zeros((7, 7))
+    for s, t, w in pairs:
+        m[names.index(t), names.index(s)] = w
+    e = spark.createDataFrame(pairs, "source string, target string, share double")
+    assert abs(G.spectral_radius(e, largest=3) - np.abs(np.linalg.eigvals(m)).max()) < 1e-4
+    with pytest.raises(RuntimeError):
+        G.strong_components(e, most=0)
+
+
+def test_distances_have_no_silent_end(spark):
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(66)], "source string, target string").coalesce(1)
+    assert G.hop_distances(e, spark.createDataFrame([("n00",)], "node string")).count() == 67
