@@ -11,7 +11,10 @@ Signatures travel as column blocks, one row per map batch and reduce partition,
 signature.  A reduce task sorts its signatures and pairs equal ones.  Copies collapse to
 one class beforehand, so a set repeated a million times signs once per batch.  A signature
 shared by more than ``HOT`` classes (common phrases) pairs nothing; classes that have one
-are joined again by exact prefix filtering, so nothing is lost.  Candidates pass a 256-bit sketch and then the exact Jaccard similarity.
+are joined again by exact prefix filtering (``prefix_join``), so nothing is lost.  Where a
+signature is hot within one map batch only a mark of it travels, and the mark makes it hot
+everywhere: no task ever holds more than ``LOCAL_HOT`` of 4,096 sets for one signature.
+Candidates pass a 256-bit sketch and then the exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.core.runtime import cut
+from quarry.llm.prefix_join import BATCH, BINS, candidate_ranges, candidates, flat_sets, in_chunks, sketch_agrees, sketches
 from quarry.llm.tokens import mix, shingle_sets
 
 N2, K2 = 4, 2
 HOT = 2000
+#: A signature of so many sets of one map batch is hot there: a mark travels instead of them.
+LOCAL_HOT, MARK = 128, 65535
 #: Bands up to this size have signatures without any chance of a miss.
 EXACT_BAND = 16
 #: Largest share of pairs at the threshold that the signatures of a larger band may miss.
 MISS = 0.001
-BINS = 64
 BROADCAST_KEYS = 200_000
 SUBSETS = tuple(combinations(range(N2), N2 - K2))
 SETS = "key long, cls long, hs array<int>"
@@ -68,15 +73,6 @@ def text_sets(rows: DataFrame, key: str, text: str, width: int, side: str | None
     return rows.select(cols).where("t is not null and side is not null").mapInArrow(run, SETS)
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes, set sizes and all hashes of a batch of sets, one set per class."""
-    cls = batch.column("cls").to_numpy(zero_copy_only=False)
-    _, once = np.unique(cls, return_index=True)
-    hs = batch.column("hs").take(pa.array(np.sort(once)))
-    off = hs.offsets.to_numpy()
-    return cls[np.sort(once)], np.diff(off).astype(np.int64), hs.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint32)
-
-
 def partition_size(threshold: float) -> float:
     """Mean shingles in a partition: about five of them differ in pairs at the threshold."""
     return 4.94 * (1 + threshold) / (2 * (1 - threshold)) if threshold < 1 else 64.0
@@ -103,25 +99,6 @@ def missed(n1: int, apart: float) -> float:
     return sum(comb(N2, i) * clean**i * (1 - clean) ** (N2 - i) for i in range(N2 - K2)) ** n1
 
 
-def sketches(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """Four bits for each of ``BINS`` bins of the domain: 1 to 15 by the least mixed hash in it, 0 if empty."""
-    at = doc * BINS + ((h.astype(np.uint64) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-    nib = np.zeros(docs * BINS, np.uint8)
-    nib[at[first]] = (mix(h[first].astype(np.uint64)) % np.uint64(15)).astype(np.uint8) + 1
-    return ((nib[0::2] << 4) | nib[1::2]).reshape(docs, BINS // 2).view(np.uint64)
-
-
-def sketch_agrees(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether so few bins differ that the similarity may reach the threshold (a pair at it fails about once in 75,000)."""
-    d = x ^ y
-    d |= d >> np.uint64(1)
-    d |= d >> np.uint64(2)
-    differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
-    used = BINS * (1 - np.exp(-(n + m) / (1 + threshold) / BINS))
-    return differ <= used * (1 - threshold) + 4.2 * np.sqrt(used * threshold * (1 - threshold)) + 1
-
-
 def signatures(h: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """``(signature, doc)`` of all sets of a batch; ``h`` sorted within each set."""
     docs = len(size)
@@ -158,28 +135,42 @@ def signatures(h: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.nd
     return np.concatenate(out_s), np.concatenate(out_d)
 
 
+def _hot_here(s: np.ndarray) -> np.ndarray:
+    """Which signatures of a map batch are those of ``LOCAL_HOT`` or more of its sets."""
+    bucket = (s >> np.uint64(44)).astype(np.int64)
+    hot = np.bincount(bucket, minlength=1 << 20)[bucket] >= LOCAL_HOT
+    if hot.any():
+        _, back, n = np.unique(s[hot], return_inverse=True, return_counts=True)
+        hot[hot] = n[back] >= LOCAL_HOT
+    return hot
+
+
 def _signed_blocks(threshold: float, parts: int):
     def run(it):
         for batch in it:
-            for a in range(0, batch.num_rows, 4096):
-                cls, size, h = _flat(batch.slice(a, 4096))
+            for a in range(0, batch.num_rows, BATCH):
+                cls, size, h = flat_sets(batch.slice(a, BATCH))
                 if not len(cls):
                     continue
                 sk = sketches(h, np.repeat(np.arange(len(cls)), size), len(cls))
                 s, d = signatures(h, size, threshold)
+                hot = _hot_here(s)
+                marks = np.unique(s[hot])
+                told = cls[np.unique(d[hot])].tobytes()
+                s, d = np.concatenate([s[~hot], marks]), np.concatenate([d[~hot], np.full(len(marks), len(cls))])
                 r = ((s >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(r, kind="stable")
                 s, d, r = s[order], d[order], r[order]
                 cuts = np.searchsorted(r, np.arange(parts + 1))
                 rows = []
-                for i in range(parts):
+                for i in np.flatnonzero(np.diff(cuts)):
                     lo, hi = cuts[i], cuts[i + 1]
-                    if lo == hi:
-                        continue
                     here, ix = np.unique(d[lo:hi], return_inverse=True)
-                    rows.append((i, s[lo:hi].astype(np.uint32).tobytes(), ix.astype(np.uint16).tobytes(), cls[here].tobytes(), size[here].astype(np.uint32).tobytes(), sk[here].tobytes()))
+                    ix = np.where(here[ix] == len(cls), MARK, ix)
+                    here = here[here < len(cls)]
+                    rows.append((i, s[lo:hi].astype(np.uint32).tobytes(), ix.astype(np.uint16).tobytes(), cls[here].tobytes(), size[here].astype(np.uint32).tobytes(), sk[here].tobytes(), b"" if rows else told))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["r", "s", "d", "cls", "n", "sk"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["r", "s", "d", "cls", "n", "sk", "hot"])
 
     return run
 
@@ -188,44 +179,46 @@ def _paired(threshold: float, cross: bool):
     def run(it):
         key, doc, cls, size, sk, base = [], [], [], [], [], 0
         for b in it:
-            for r, s, d, c, n, k in zip(*[b.column(x).to_pylist() for x in ("r", "s", "d", "cls", "n", "sk")]):
+            for r, s, d, c, n, k, told in zip(*[b.column(x).to_pylist() for x in ("r", "s", "d", "cls", "n", "sk", "hot")]):
                 key.append(np.frombuffer(s, np.uint32).astype(np.uint64) | (np.uint64(r) << np.uint64(32)))
-                doc.append(np.frombuffer(d, np.uint16).astype(np.int32) + np.int32(base))
+                at = np.frombuffer(d, np.uint16).astype(np.int32)
+                doc.append(np.where(at == MARK, -1, at + np.int32(base)))
                 cls.append(np.frombuffer(c, np.int64))
                 size.append(np.frombuffer(n, np.uint32).astype(np.int64))
                 sk.append(np.frombuffer(k, np.uint64).reshape(-1, BINS // 16))
                 base += len(cls[-1])
+                if told:
+                    who = np.frombuffer(told, np.int64)
+                    yield _pairs(who, who, np.full(len(who), -1))
         if not key:
             return
         key, doc, cls, size, sk = (np.concatenate(x) for x in (key, doc, cls, size, sk))
         # one number per class, not per batch that has it
         known, first, back = np.unique(cls, return_index=True, return_inverse=True)
-        doc, size, sk = back[doc].astype(np.int64), size[first], sk[first]
+        doc, size, sk = np.where(doc < 0, -1, np.append(back, 0)[doc]).astype(np.int64), size[first], sk[first]
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
         key, doc = key[new], doc[new]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         run_len = np.diff(np.concatenate([edge, [len(key)]]))
-        hot = np.repeat(run_len > HOT, run_len)
+        # a mark sorts before the sets of its signature
+        hot = np.repeat((run_len > HOT) | (doc[edge] < 0), run_len)
         if hot.any():
-            who, times = np.unique(doc[hot], return_counts=True)
-            yield _pairs(known[who], times.astype(np.int64), np.full(len(who), -1))
-        live = np.flatnonzero(~hot)
-        at, step = live[:-1][key[live[:-1]] == key[live[1:]]] if len(live) > 1 else live[:0], 1
+            who = known[np.unique(doc[hot & (doc >= 0)])]
+            yield _pairs(who, who, np.full(len(who), -1))
+        key, doc = key[~hot], doc[~hot]
+        late = (known[doc] & 1).astype(bool) if cross else None
+        if cross:
+            order = np.lexsort((late, key))
+            key, doc, late = key[order], doc[order], late[order]
         found = []
-        while len(at):
-            a, b = doc[at], doc[at + step]
-            lo, hi = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            ok = lo >= threshold * hi
-            if cross:
-                ok &= ((known[a] ^ known[b]) & 1).astype(bool)
+        for i, j in in_chunks(*candidate_ranges(key, late)):
+            a, b = doc[i], doc[j]
+            ok = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
             a, b = a[ok], b[ok]
             ok = sketch_agrees(sk[a], sk[b], size[a], size[b], threshold)
-            found.append(np.unique(a[ok] * len(known) + b[ok]))
-            step += 1
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
+            found.append(np.unique(np.minimum(a[ok], b[ok]) * len(known) + np.maximum(a[ok], b[ok])))
         if found:
             p = np.unique(np.concatenate(found))
             a, b = known[p // len(known)], known[p % len(known)]
@@ -241,7 +234,7 @@ def _pairs(a, b, kind) -> pa.RecordBatch:
 def similar_classes(sets: DataFrame, threshold: float, cross: bool = False, total: int | None = None) -> DataFrame:
     """``(a, b, jaccard)`` for classes ``a < b`` whose sets have Jaccard similarity >= ``threshold``.
 
-    ``sets`` (``SETS``) is read twice or three times: materialise it where that is cheaper
+    ``sets`` (``SETS``) is read two to four times: materialise it where that is cheaper
     than making it again.  ``total``: shingles of all sets, counted if not given.  With
     ``cross`` only pairs of classes with different lowest bits (``text_sets``) count.
     """
@@ -249,12 +242,12 @@ def similar_classes(sets: DataFrame, threshold: float, cross: bool = False, tota
         total = sets.agg(F.sum(F.size("hs"))).first()[0]
     total = total or 0
     parts = max(8, int(total // 6_000_000))
-    blocks = sets.select("cls", "hs").mapInArrow(_signed_blocks(threshold, parts), "r int, s binary, d binary, cls binary, n binary, sk binary")
+    blocks = sets.select("cls", "hs").mapInArrow(_signed_blocks(threshold, parts), "r int, s binary, d binary, cls binary, n binary, sk binary, hot binary")
     found = cut(blocks.repartition(parts, "r").mapInArrow(_paired(threshold, cross), "a long, b long, kind long"))
     pairs = found.where("kind = 0").select("a", "b")
     hot = found.where("kind < 0")
     if hot.limit(1).count():
-        pairs = pairs.unionByName(_prefix_pairs(_in_hot(sets, hot), threshold, cross))
+        pairs = pairs.unionByName(candidates(cut(_in_hot(sets, hot)), threshold, cross))
     return verified(sets, pairs.distinct(), threshold)
 
 
@@ -263,26 +256,6 @@ def _in_hot(sets: DataFrame, hot: DataFrame) -> DataFrame:
     return sets.join(hot.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "hs")
 
 
-def _prefix_pairs(sets: DataFrame, threshold: float, cross: bool) -> DataFrame:
-    """Exact candidates: sets with Jaccard >= threshold share one of their rarest shingles.
-
-    Keeps the ``n - ceil(threshold * n) + 1`` rarest shingles of each set, by frequency among
-    ``sets`` and then by value, and joins on them.
-    """
-    x = sets.select("cls", F.size("hs").alias("n"), F.explode("hs").alias("h"))
-    df = x.groupBy("h").agg(F.count("*").alias("df"))
-    from pyspark.sql import Window as W
-
-    order = F.row_number().over(W.partitionBy("cls").orderBy("df", "h"))
-    kept = x.join(df, "h").withColumn("i", order).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    kept = cut(kept.select("cls", "n", "h"))
-    a, b = kept.alias("a"), kept.alias("b")
-    near = (F.col("a.cls") < F.col("b.cls")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-    if cross:
-        near = near & (F.col("a.cls").bitwiseXOR(F.col("b.cls")).bitwiseAND(1) == 1)
-    return a.join(b, F.col("a.h") == F.col("b.h")).where(near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-
-
 def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose exact Jaccard similarity reaches ``threshold``, with it."""
     pairs = cut(pairs)

@@ -9,10 +9,13 @@ training only.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.core.runtime import cut
-from quarry.llm.near_duplicates import similar_classes, text_sets
+from quarry.llm import prefix_join
+from quarry.llm.near_duplicates import text_sets, verified
 
 TRAIN = "train"
 
@@ -36,12 +39,35 @@ def exact_overlaps(rows: DataFrame, key: str = "record_no", split: str = "split"
     return tr.join(ev, "ch").select("t", "e")
 
 
+def _keys_and_counts(sets: DataFrame) -> DataFrame:
+    """One pass over ``sets``: a row ``(cls, key)`` for each, and the pieces of the table that orders shingles."""
+
+    def run(it):
+        counts = np.zeros(1 << prefix_join.ORDER_BITS, np.int64)
+        for b in it:
+            counts += prefix_join.bucket_counts(b.column("hs").flatten().to_numpy(zero_copy_only=False).view(np.uint32))
+            none = pa.nulls(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("key"), none.cast(pa.int32()), none.cast(pa.binary())], ["cls", "key", "piece", "counts"])
+        rows = prefix_join.count_pieces(counts) if counts.any() else []
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "key", "piece", "counts"])
+
+    return sets.mapInArrow(run, "cls long, key long, " + prefix_join.COUNTS)
+
+
 def near_overlaps(rows: DataFrame, threshold: float = 0.6, width: int = 3, key: str = "record_no", split: str = "split", text: str = "prompt") -> DataFrame:
     """``(t, e)``: pairs across splits whose distinct word shingles overlap to ``threshold`` or more."""
-    sets = text_sets(rows.withColumn("_train", F.col(split) == TRAIN), key, text, width, "_train")
+    sided = rows.select(key, text, (F.col(split) == TRAIN).alias("_train"))
     # The sets are large against the prompts and quick to make: only their keys are kept.
-    m = cut(sets.select("cls", "key", F.size("hs").alias("n")))
-    linked = similar_classes(sets, threshold, cross=True, total=m.agg(F.sum("n")).first()[0])
+    sets = text_sets(sided, key, text, width, "_train")
+    once = cut(_keys_and_counts(sets))
+    m = once.where("piece is null").select("cls", "key")
+    table = prefix_join.order_table(once.where("piece is not null").select("piece", "counts"))
+    pairs = cut(prefix_join.candidates(sets, threshold, True, table))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    first = m.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key"))
+    wanted = text_sets(sided.join(first.select(F.col("key").alias(key)), key, "left_semi"), key, text, width, "_train")
+    linked = verified(wanted, pairs, threshold)
     both = linked.join(m.select(F.col("cls").alias("a"), F.col("key").alias("ka")), "a").join(m.select(F.col("cls").alias("b"), F.col("key").alias("kb")), "b")
     train_a = F.col("a").bitwiseAND(1) == 1
     return both.select(F.when(train_a, F.col("ka")).otherwise(F.col("kb")).alias("t"), F.when(train_a, F.col("kb")).otherwise(F.col("ka")).alias("e"))
