@@ -23,7 +23,7 @@ from quarry.llm.tokens import mix
 ORDER_BITS, PIECES = 20, 16
 SPLIT = 50_000
 #: Pairs looked at together.
-CHUNK = 2_000_000
+CHUNK = 200_000
 #: Shingles of all sets for each reduce partition.
 SHINGLES_PER_PART = 16_000_000
 BATCH = 4096
@@ -202,14 +202,15 @@ def _joined(threshold: float, cross: bool):
         key, doc, pos, late = key[order], doc[order], pos[order].astype(np.int64), late[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
         key, doc, pos, late = key[new], doc[new], pos[new], late[new]
-        rest, need = size[doc] - pos, threshold / (1 + threshold)
+        # what may still be common from here on, and how much of it a set's own half of the overlap needs
+        here = size[doc]
+        rest, need = (here - pos).astype(np.float32), (here * (threshold / (1 + threshold))).astype(np.float32)
         found = []
         for i, j in in_chunks(*candidate_ranges(key, late if cross else None)):
-            n, m = size[doc[i]], size[doc[j]]
-            ok = (np.minimum(n, m) >= threshold * np.maximum(n, m)) & (np.minimum(rest[i], rest[j]) >= need * (n + m) - 1e-6)
-            i, j, n, m = i[ok], j[ok], n[ok], m[ok]
-            a, b = doc[i], doc[j]
-            ok = sketch_agrees(sk[a], sk[b], n, m, threshold)
+            ok = np.flatnonzero(np.minimum(rest[i], rest[j]) >= (need[i] + need[j]) * np.float32(0.999999))
+            a, b = doc[i[ok]], doc[j[ok]]
+            n, m = size[a], size[b]
+            ok = (np.minimum(n, m) >= threshold * np.maximum(n, m)) & sketch_agrees(sk[a], sk[b], n, m, threshold)
             found.append(np.unique(np.minimum(a[ok], b[ok]).astype(np.int64) * len(known) + np.maximum(a[ok], b[ok])))
         if found:
             p = np.unique(np.concatenate(found))
