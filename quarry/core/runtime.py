@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def process_cache() -> dict:
@@ -34,3 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a counted side is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast where it was counted to have at most ``rows`` rows, else as it is.
+
+    ``df`` is counted here and read again by the join: materialise it where it is not cheap.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
