@@ -14,15 +14,17 @@ from quarry.core.runtime import cut
 
 #: Documents in one sorted range, on average.
 RANGE_ROWS = 100_000
+#: Plans are a row per source; up to so many they are broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """``(source, target_share, max_repeats, docs, own, budget, epochs, rest, short)`` per target.
+    """``(source, target_share, max_repeats, docs, own, budget, epochs, rest)`` per target.
 
     ``own`` is the source's size, ``budget`` its share of ``total`` (default: the size of all
-    documents), ``epochs`` how often all of it is used, ``rest`` what a partial epoch adds,
-    ``short`` whether the cap keeps it below its share.  Repeated target rows count once;
-    sources without documents have size 0; without target, a source gets nothing.
+    documents), ``epochs`` how often all of it is used, ``rest`` what a partial epoch adds.
+    Repeated target rows count once; sources without documents have size 0; without target,
+    a source gets nothing; a missing cap is one use.
     """
     per = sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("own"))
     t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -30,10 +32,10 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     x = t.join(per, "source", "left").fillna({"docs": 0, "own": 0})
     x = x.withColumn("budget", F.coalesce("target_share", F.lit(0.0)) * whole)
     cap = F.coalesce("max_repeats", F.lit(1)).cast("long")
-    short = F.col("own") * cap < F.col("budget")
-    epochs = F.when(F.col("own") == 0, F.lit(0)).when(short, cap).otherwise(F.floor(F.col("budget") / F.col("own"))).cast("long")
-    rest = F.when(short | (F.col("own") == 0), F.lit(0.0)).otherwise(F.col("budget") - F.floor(F.col("budget") / F.col("own")) * F.col("own"))
-    return x.select("source", "target_share", cap.alias("max_repeats"), "docs", "own", "budget", epochs.alias("epochs"), rest.alias("rest"), short.alias("short"))
+    whole_epochs = F.floor(F.col("budget") / F.col("own"))
+    epochs = F.when(F.col("own") == 0, F.lit(0)).otherwise(F.least(whole_epochs, cap)).cast("long")
+    rest = F.when((F.col("own") == 0) | (whole_epochs >= cap), F.lit(0.0)).otherwise(F.col("budget") - whole_epochs * F.col("own"))
+    return x.select("source", "target_share", cap.alias("max_repeats"), "docs", "own", "budget", epochs.alias("epochs"), rest.alias("rest"))
 
 
 def select(sizes: DataFrame, plans: DataFrame, key: str = "doc_id", seed: int = 7) -> DataFrame:
@@ -42,7 +44,8 @@ def select(sizes: DataFrame, plans: DataFrame, key: str = "doc_id", seed: int =
     The partial epoch takes documents in key order while their middle lies within the rest,
     so a source misses its budget by at most half a document.
     """
-    x = sizes.join(F.broadcast(plans.select("source", "docs", "epochs", "rest")), "source")
+    p = plans.select("source", "docs", "epochs", "rest")
+    x = sizes.join(F.broadcast(p) if p.count() <= BROADCAST_ROWS else p, "source")
     x = x.withColumn("k", F.xxhash64(F.lit(seed), F.col(key)))
     ranges = F.greatest(F.ceil(F.col("docs") / RANGE_ROWS), F.lit(1))
     # unsigned upper half of the key, spread over the source's ranges
@@ -57,11 +60,20 @@ def select(sizes: DataFrame, plans: DataFrame, key: str = "doc_id", seed: int =
 
 
 def mix_sources(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The selection, and per source its target and reached share of the mix."""
+    """The selection, and per source its target and reached share of the mix.
+
+    ``short``: every document of the source is in the selection as often as the cap allows
+    and their size still lies below the budget.
+    """
     sizes = cut(sizes)
     plans = cut(plan(sizes, targets, total))
     chosen = select(sizes, plans, key)
-    got = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("used"), F.max("times").alias("repeats"))
-    x = plans.join(got, "source", "left").fillna({"used": 0, "repeats": 0})
+    caps = plans.select("source", F.col("max_repeats").alias("cap"))
+    got = chosen.groupBy("source", "times").agg(F.sum("size").alias("size"), F.count("*").alias("n")).join(caps, "source")
+    got = got.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("times")).alias("used"), F.max("times").alias("repeats"), F.sum(F.when(F.col("times") >= F.col("cap"), F.col("n")).otherwise(0)).alias("at_cap")
+    )
+    x = plans.join(got, "source", "left").fillna({"used": 0, "repeats": 0, "at_cap": 0})
     x = x.withColumn("reached_share", F.col("used") / F.sum("used").over(W.partitionBy()))
-    return chosen, x.select("source", "target_share", "reached_share", "own", "used", "repeats", "max_repeats", "short")
+    short = (F.col("at_cap") == F.col("docs")) & (F.col("used") < F.col("budget"))
+    return chosen, x.select("source", "target_share", "reached_share", "own", "used", "repeats", "max_repeats", short.alias("short"))

@@ -1,9 +1,12 @@
 """Problem 8: fill containers of fixed capacity, hierarchically.
 
-Items are hashed to partitions and packed there by best fit, largest first.  Bins filled
-to ``FULL`` are done; underfull bins go on as single items, by a tree of ever fewer
-partitions, and are packed again by best fit, until one partition has seen what is left.
-Each round reads what the round before wrote; rounds grow with the logarithm of the items.
+Items are hashed to partitions of bounded size and packed there by best fit, largest
+first.  Bins filled to ``FULL`` are done, and so is a bin that the smallest item left
+cannot join; the others go on as single items, hashed anew to fewer partitions, and are
+packed again by best fit.  It ends when one partition has seen all that is left, or when a
+round merges next to nothing: then no partition of a random ``PER_PARTITION`` items has two
+bins that fit together, nor have all partitions.  So no task packs more than its bound,
+however many items (say, all a little over half a container) cannot be combined.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from quarry.core.runtime import cut
 
 CAPACITY = 1024
 FULL = 0.985
-#: Items of a partition in the first round, and how many partitions merge into one.
-PER_PARTITION, FAN_IN = 50_000, 8
+#: Items of a partition, on average, and the share of items that a round must merge for another.
+PER_PARTITION, GAIN = 50_000, 0.002
 
 
 def best_fit(items: list[tuple[int, int]], capacity: int) -> list[tuple[list[int], int]]:
@@ -67,28 +70,34 @@ def _round(items: DataFrame, parts: int, level: int, capacity: int) -> DataFrame
             fills.extend([filled] * len(members))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(fills, pa.int64())], ["key", "bin", "filled"])
 
-    return items.select("key", "size").repartition(parts, "key").mapInArrow(run, "key long, bin long, filled long")
+    salted = F.xxhash64("key", F.lit(level))
+    return items.select("key", "size").repartition(parts, salted).mapInArrow(run, "key long, bin long, filled long")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, full: float = FULL) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, full: float = FULL, per_partition: int = PER_PARTITION) -> DataFrame:
     """``(key, container, filled)`` for items ``(key, size)`` with unique keys and size <= capacity."""
     todo = cut(items.select(F.col("key").cast("long"), F.col("size").cast("long")))
     n = todo.count()
-    parts = max(1, -(-n // PER_PARTITION))
-    home = todo.select("key", F.col("key").alias("at"))
-    done = None
-    level = 0
+    home, done, level = None, None, 0
     while True:
+        parts = max(1, -(-n // per_partition))
         bins = cut(_round(todo, parts, level, capacity))
-        home = home.join(bins.select(F.col("key").alias("at"), "bin", "filled"), "at").select("key", F.col("bin").alias("at"), "filled")
-        last = parts == 1
-        over = home if last else home.where(F.col("filled") >= full * capacity)
+        x = bins if home is None else home.join(bins.withColumnRenamed("key", "at"), "at")
+        home = x.select("key", F.col("bin").alias("at"), "filled")
+        each = bins.select("bin", "filled").distinct()
+        least = each.where(F.col("filled") < full * capacity).agg(F.min("filled"), F.count("*")).first()
+        left = least[1]
+        last = parts == 1 or left > (1 - GAIN) * n
+        shut = (F.col("filled") >= full * capacity) | (F.col("filled") + F.lit(least[0] or 0) > capacity)
+        over = home if last else home.where(shut)
         done = over if done is None else done.unionByName(over)
         if last:
             return done.select("key", F.col("at").alias("container"), "filled")
-        home = cut(home.where(F.col("filled") < full * capacity).select("key", "at"))
-        todo = bins.where(F.col("filled") < full * capacity).select(F.col("bin").alias("key"), F.col("filled").alias("size")).distinct()
-        parts, level = max(1, parts // FAN_IN), level + 1
+        home = cut(home.where(~shut).select("key", "at"))
+        todo = cut(each.where(~shut).select(F.col("bin").alias("key"), F.col("filled").alias("size")))
+        n, level = todo.count(), level + 1
+        if n == 0:
+            return done.select("key", F.col("at").alias("container"), "filled")
 
 
 def pack_documents(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:

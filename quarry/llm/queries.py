@@ -31,6 +31,14 @@ def p2_cleaned(spark, d):
     return out.select("id", "removed", F.length("clean_text").alias("clean_chars"))
 
 
+def p2_significance(spark, d):
+    """Per site: its lines over the floors, how many of them are in excess beyond chance, and where they stand."""
+    x = boilerplate_lines.excessive_lines(_news(spark, d), table(spark, d, "domain_status"))
+    return x.groupBy("site").agg(
+        F.count("*").alias("lines"), F.sum(F.col("significant").cast("long")).alias("significant"), F.sum("rows").alias("rows"), F.sum("outside_rows").cast("long").alias("outside_rows"), F.round(F.max("llr"), 2).alias("top_llr")
+    )
+
+
 def p3_pieces(spark, d):
     return splitting.split_texts(table(spark, d, "filing_chunks")).drop("piece")
 
@@ -135,7 +143,7 @@ def p10_found(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_all, p2_found, p2_cleaned, p3_found, p3_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_found, p7_found, p7_exact, p7_report,
+    p1_found, p1_all, p2_found, p2_cleaned, p2_significance, p3_found, p3_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_found, p7_found, p7_exact, p7_report,
     p8_found, p8_containers, p8_report, p9_found, p9_mix, p9_shares, p10_found,
 )}
 
@@ -158,9 +166,21 @@ y AS (SELECT *, CASE WHEN c = '' THEN trim(prompt) ELSE c END AS k FROM x),
 e AS (SELECT y.record_no, y.split, y.source, count(*) AS k FROM y JOIN y t ON t.k = y.k AND t.split = 'train' WHERE y.split <> 'train' GROUP BY ALL)
 """
 
+_SIGNIFICANCE = """
+, q AS (SELECT c.site, c.k, c.c::DOUBLE AS k1, t.total::DOUBLE AS n1, (sum(c.c) OVER (PARTITION BY c.k) - c.c)::DOUBLE AS k2, ((SELECT sum(total) FROM t) - t.total)::DOUBLE AS n2 FROM c JOIN t USING (site)),
+g AS (SELECT *, 2 * (coalesce(k1 * ln(nullif(k1, 0)), 0) + coalesce((n1 - k1) * ln(nullif(n1 - k1, 0)), 0) + coalesce(k2 * ln(nullif(k2, 0)), 0) + coalesce((n2 - k2) * ln(nullif(n2 - k2, 0)), 0) + (n1 + n2) * ln(n1 + n2) - n1 * ln(n1) - n2 * ln(n2)
+      - coalesce((k1 + k2) * ln(nullif(k1 + k2, 0)), 0) - coalesce((n1 + n2 - k1 - k2) * ln(nullif(n1 + n2 - k1 - k2, 0)), 0)) AS llr FROM q),
+z AS (SELECT *, CASE WHEN k1 * n2 >= k2 * n1 THEN least(floor(llr * 8), 12000) ELSE -1 END AS step FROM g),
+b AS (SELECT step, sum(count(*)) OVER (ORDER BY step DESC) AS above, sum(count(*)) OVER () AS tests FROM z GROUP BY step),
+m AS (SELECT min(step) AS least FROM b WHERE step >= 0 AND exp(-step / 16) <= above * 0.01 / tests)
+SELECT site, count(*) AS lines, sum(CASE WHEN step >= m.least THEN 1 ELSE 0 END)::BIGINT AS significant, sum(k1)::BIGINT AS rows, sum(k2)::BIGINT AS outside_rows, round(max(round(llr, 4)), 2) AS top_llr
+FROM z, m WHERE k1 >= 5 AND k1 >= 0.1 * n1 GROUP BY site
+"""
+
 SQL = {
     "p3_found": r"""SELECT DISTINCT chunk_id FROM filing_chunks
 WHERE floor(greatest(1.35 * len(regexp_extract_all(text, '[^\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')), length(text) / 3.7) + 1) > 1500""",
     "p2_found": _SITE + "SELECT n.id, n.line_no::BIGINT AS line_no FROM n JOIN hot USING (site, k)",
+    "p2_significance": _SITE + _SIGNIFICANCE,
     "p7_exact": _CANON + "SELECT split, source, count(*) AS overlapping, sum(k)::BIGINT AS pairs FROM e GROUP BY split, source",
 }

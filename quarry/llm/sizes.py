@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -13,8 +14,10 @@ from quarry.core.runtime import process_cache
 #: Folder of the public vocabulary files, on every executor.
 VOCABULARY = os.environ.get("QUARRY_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts beyond this are cut before encoding, at white space where possible; counts add up.
+#: Long texts are encoded in pieces of about so many letters.  A piece ends before white space that
+#: follows other letters, where the encoding splits anyway, so counts add up to those of the whole.
 _STRIDE = 50_000
+_BREAK = re.compile(r"(?<=\S)(?=\s)")
 
 
 def encoder(path: str):
@@ -32,7 +35,13 @@ def encoder(path: str):
 
 def count(text: str, path: str) -> int:
     enc = encoder(path)
-    return sum(len(enc.encode_ordinary(text[i : i + _STRIDE])) for i in range(0, len(text), _STRIDE))
+    n = at = 0
+    while at < len(text):
+        stop = _BREAK.search(text, at + _STRIDE) if len(text) > at + _STRIDE else None
+        end = stop.start() if stop else len(text)
+        n += len(enc.encode_ordinary(text[at:end]))
+        at = end
+    return n
 
 
 def token_sizes(rows: DataFrame, key: str, text: str, keep: tuple = (), path: str = VOCABULARY) -> DataFrame:
