@@ -2,8 +2,13 @@
 
 Ordered rules per answer: emptiness, refusal phrases of many languages, copied prompt or
 question, script and language mismatch, and abrupt or unclosed endings.  Every triggered
-defect comes out with its rank; the first is the answer's defect.  Each pair is judged on
-its own, so this is a narrow map over both tables.
+defect comes out with its rank; the first is the answer's defect.  Whole texts are judged,
+whatever their length.
+
+How list items end is learned from all answers of the table: for each word that stands in
+enough items, how often it is the last one.  Words are counted map-side and only those in
+``COMMON_SHARE`` of the items are kept, so what travels back is bounded by the words of
+``1 / COMMON_SHARE`` items.  Judging is a narrow map.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.core.runtime import cut
+
 ORDER = ("empty", "refusal", "copy", "language", "truncated")
 
 _MARKUP = re.compile(r"<[^<>]{1,40}>|```[a-z]*|[\s​‌‍⁠﻿­]+")
@@ -36,23 +43,31 @@ _REFUSALS = re.compile(
     re.I | re.S,
 )
 _REFUSALS_OTHER = re.compile(r"申し訳(?:ありません|ございません)|(?:お答え|回答|対応|お手伝い|提供)(?:することは|は)?(?:でき(?:ません|ない|かねます)|いたしかねます)|抱歉|(?:我)?(?:无法|不能|無法)(?:回答|提供|处理|协助|帮助|满足|完成)|很遗憾，我|عذر[اًا]|آسف|لا (?:يمكنني|أستطيع)|क्षमा करें|माफ़ कीजिए|मैं .{0,30}(?:असमर्थ|नहीं कर सकत)|ขออภัย|ไม่สามารถ(?:ตอบ|ช่วย|ให้)|извините|не могу|죄송|(?:답변|도와).{0,10}(?:수 없|드릴 수)")
-_LONGEST_REFUSAL = 400
+_SENTENCE = re.compile(r"(?<=[.!?。！？؟।])\s*(?=\S)")
 
-# Frequent small words by language.
+# Frequent function words by language.
 _SMALL = {
-    "en": "the of and to by is are was were its from so no would has have for with at that not it be on an their which does this up first last after before only under cannot will long what",
-    "de": "der die das und von ist im den dem des ein eine einer eines mit für auf bei nach seiner seine ihre nicht wird wurde rund sind aus zu zum zur prozent tage tagen reicht daher wäre wie liefert",
-    "fr": "le la les des et est de du un une dans par pour avec qui à au aux en sur ses son sa cent besoins auprès jours assure destinées ne pas ce cette dont sont dépend",
-    "es": "el la los las y es de del un una en por para con que a al su sus ciento días se lo mantiene reservas insumos cuota principal proveedor no como depende suministros",
-    "it": "il lo la gli le e è di del della delle dei da dal dalla un una in per con che a al su sono cento giorni acquista dispone scorte forniture non circa dipende fornitore principale",
-    "pt": "o a os as e é de do da dos das um uma em por para com que no na ao à seus suas cento dias tem estoque insumos compra não cerca depende fornecedor principal mantém",
-    "nl": "de het een en van is in op voor met dat niet zijn door aan bij te uit procent dagen",
-    "pl": "i w na z do się jest od przez nie że o dla po procent dni",
-    "sv": "och i att det som en av är på för med till den procent dagar",
-    "tr": "ve bir bu için ile da de yüzde gün olarak",
+    "en": "the of and to by is are was were its from so no would has have had for with at that not it be been on an a their they which who does did do this these those there up first last after before only under will can could should than then when where while because into over about between both each if as or but he she we you his her our your",
+    "de": "der die das und von ist im den dem des ein eine einer eines einem einen mit für auf bei nach seiner seine sein ihre ihr nicht wird wurde werden wurden sind war waren aus zu zum zur es sie er wir ich sich auch als an am um bis durch gegen ohne über unter vor zwischen dass daß weil wenn wie was wer wo noch nur schon sehr kann kein keine haben hat hatte oder aber rund daher wäre",
+    "fr": "le la les l des et est de du d un une dans par pour avec qui que à au aux en sur ses son sa leur leurs ne pas ce cette ces cet dont sont été être a ont avait il elle ils elles nous vous je on se si ou où mais plus moins comme très après avant sans sous entre chez donc car aussi tout tous toute",
+    "es": "el la los las lo y es de del un una unos unas en por para con que a al su sus se no como más pero sin sobre entre este esta estos estas ese esa muy ya también fue ser son está están ha han había hay o u cuando donde quien porque desde hasta si le les me nos yo ella ellos ciento",
+    "it": "il lo la gli le i e è di del della dello delle dei degli da dal dalla dai un uno una in nel nella per con che a al alla ai su sul sulla sono non si ci ha hanno era erano essere stato questo questa questi anche come più ma se o dove quando perché tra fra suo sua suoi loro cento circa",
+    "pt": "o a os as e é de do da dos das um uma uns umas em no na nos nas por pelo pela para com que ao à aos às se não mais mas como seu sua seus suas este esta isto esse essa foi ser são está estão tem têm há ou quando onde porque já também muito entre sem sobre até desde ele ela eles cento cerca",
+    "nl": "de het een en van is in op voor met dat niet zijn door aan bij te uit er om als naar ook maar dan of zij hij wij ik je deze dit die wordt werd worden heeft hebben had was waren kan geen nog wel tot over onder tussen tegen zonder omdat wat wie waar hun haar procent",
+    "pl": "i w z na do się jest są był była było od przez nie że o dla po za ze jak ale lub czy co to ten ta te tego tej tym oraz jego jej ich może być który która które przed bez pod nad między tylko już także gdy",
+    "sv": "och i att det som en ett av är på för med till den de inte var har hade kan ska om men eller så från vid under över efter utan mellan sin sitt sina han hon vi ni jag detta denna dessa också bara när där vad hur blir blev",
+    "da": "og i at det som en et af er på for med til den de ikke var har havde kan skal om men eller så fra ved under over efter uden mellem sin sit sine han hun vi jeg dette denne disse også kun når hvor hvad hvordan bliver blev",
+    "no": "og i å det som en et av er på for med til den de ikke var har hadde kan skal om men eller så fra ved under over etter uten mellom sin sitt sine han hun vi jeg dette denne disse også bare når hvor hva hvordan blir ble",
+    "fi": "ja on ei se että oli olla ovat joka mutta tai kun kuin niin myös hän ne sen tämä tämän nämä jos vain vielä jo kanssa sekä ovat eivät ole mitä missä koska ennen jälkeen ilman noin sitä hänen heidän me te minä",
+    "tr": "ve bir bu için ile da de çok daha en gibi kadar olarak olan oldu ne ama veya ki o şu her sonra önce göre değil var yok mi mı ise ancak hem tarafından üzerinde arasında yüzde",
+    "cs": "a je v na se že to s z do o i ve za po pro jako ale by jsou byl byla bylo jeho její jejich od při podle mezi bez nebo jen už také který která které když jak aby není má",
+    "hu": "a az és hogy nem is egy van volt meg de ha csak mint már még ez azt ezt vagy lesz volna mert minden után előtt között nélkül szerint",
+    "ro": "și în de la cu pe nu este sunt un o din pentru că mai care ca se a ai al ale fi fost sau dar prin după până fără între către această acest",
+    "id": "yang dan di dari untuk dengan pada ini itu tidak adalah akan oleh dalam ke juga atau karena sebagai telah dapat lebih sudah bisa ada mereka kami saya",
+    "vi": "và của là có trong cho được không với các một những này đã để từ người khi tại vào về như đến theo cũng nhiều",
 }
 _SMALL_SETS = {k: frozenset(v.split()) for k, v in _SMALL.items()}
-_NAMES = {"english": "en", "german": "de", "french": "fr", "spanish": "es", "italian": "it", "portuguese": "pt", "dutch": "nl", "japanese": "ja", "chinese": "zh", "korean": "ko", "arabic": "ar", "hindi": "hi", "thai": "th", "russian": "ru", "polish": "pl", "turkish": "tr", "swedish": "sv"}
+_NAMES = {"english": "en", "german": "de", "french": "fr", "spanish": "es", "italian": "it", "portuguese": "pt", "dutch": "nl", "japanese": "ja", "chinese": "zh", "korean": "ko", "arabic": "ar", "hindi": "hi", "thai": "th", "russian": "ru", "polish": "pl", "turkish": "tr", "swedish": "sv", "danish": "da", "norwegian": "no", "finnish": "fi", "czech": "cs", "hungarian": "hu", "romanian": "ro", "indonesian": "id", "vietnamese": "vi"}
 _TARGET = re.compile(r"\b(?:in|into|to)\s+(?:simple |plain )?(" + "|".join(_NAMES) + r")\b", re.I)
 _SCRIPTS = (("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")), ("zh", re.compile(r"[㐀-鿿]")), ("ar", re.compile(r"[؀-ۿ]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("th", re.compile(r"[฀-๿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("he", re.compile(r"[֐-׿]")))
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,7 +77,12 @@ _END = re.compile(r"[.!?。！？؟।][\"'”’»」』)\]]*$")
 _GRAPH_LINE = re.compile(r"^\(.*\)\s*<?-\s*\[.*\]\s*->?\s*\(.*\)\s*;?$")
 _ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s+")
 _DANGLING = frozenset("of for by at the a an in on with to from and or per is are its under than as that which".split())
-_HALF_ITEMS = _DANGLING | frozenset("held share single source port access only price days".split())
+_ASKED = re.compile(r"\b(?:list|name|give|identify|state|find|write|mention|provide|top|the)\s+(?:\w+\s+){0,3}?(two|three|four|five|six|seven|eight|nine|ten)\b", re.I)
+_NUMBERS = {w: i for i, w in enumerate("two three four five six seven eight nine ten".split(), 2)}
+#: A word counts as known in list items if it stands in this share of them and in so many.
+COMMON_SHARE, COMMON_ITEMS = 0.002, 10
+#: A known word that ends fewer of its items than this ends an item only where it breaks off.
+ENDING_SHARE = 0.2
 _NAME_WORDS = frozenset("and of plc de la the & du von y et e".split())
 
 
@@ -97,7 +117,7 @@ def _score(text: str, lang: str) -> int:
 def _frame(prompt: str) -> str:
     """First and last line of the prompt: where the task is put."""
     lines = [x for x in prompt.strip().split("\n") if x.strip()]
-    return "\n".join({lines[0][:400]: 1, lines[-1][:400]: 1}) if lines else ""
+    return "\n".join({lines[0]: 1, lines[-1]: 1}) if lines else ""
 
 
 def _units(text: str) -> list[str]:
@@ -138,9 +158,9 @@ class Prompt:
     @functools.cached_property
     def asks(self) -> list[list[str]]:
         lines = [x for x in self.text.strip().split("\n") if x.strip()]
-        ends = [x for x in (lines[:1] + lines[-1:]) if len(x) <= 700]
+        ends = lines[:1] + lines[-1:]
         parts = ends + [re.split(r"[:：]\s*", x, maxsplit=1)[-1] for x in ends] + [re.split(r",\s+", x, maxsplit=1)[-1] for x in ends[-1:]]
-        return [u for u in (_units(x) for x in dict.fromkeys(parts)) if 3 <= len(u) <= 80]
+        return [u for u in (_units(x) for x in dict.fromkeys(parts)) if len(u) >= 3]
 
 
 def is_empty(answer: str | None) -> bool:
@@ -153,30 +173,31 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    if len(answer) > _LONGEST_REFUSAL or answer.lstrip()[:1] in "{[(":
+    """Whether a refusal opens or closes the answer: it stands in its first two sentences or its last."""
+    if answer.lstrip()[:1] in "{[(":
         return False
-    return bool(_REFUSALS.search(answer) or _REFUSALS_OTHER.search(answer))
+    sentences = _SENTENCE.split(answer.strip())
+    told = answer if len(sentences) <= 3 else " ".join(sentences[:2]) + "\n" + sentences[-1]
+    return bool(_REFUSALS.search(told) or _REFUSALS_OTHER.search(told))
 
 
 def is_copy(answer: str, prompt: Prompt) -> bool:
     """Whether the answer gives back the prompt from its start, or its question."""
     if answer.lstrip()[:2] in ('{"', "(:"):
         return False
-    a = _units(answer[:600])
+    a = _units(answer)
     if len(a) < 4:
         return False
     mine = _grams(a)
-    if len(answer) <= 600:
-        words = set(a)
-        for q in prompt.asks:
-            if 0.6 * len(q) <= len(a) <= 1.5 * len(q) and sum(w in words for w in q) >= 0.6 * len(q):
-                have = set(_grams(q))
-                if sum(g in have for g in mine) >= 0.72 * len(mine):
-                    return True
-    if len(a) < 12 or not _near_start(a, _units(prompt.text[:400])):
+    words = set(a)
+    for q in prompt.asks:
+        if 0.6 * len(q) <= len(a) <= 1.5 * len(q) and sum(w in words for w in q) >= 0.6 * len(q):
+            have = set(_grams(q))
+            if sum(g in have for g in mine) >= 0.72 * len(mine) and not (prompt.quote and _is_one_sentence(answer, prompt)):
+                return True
+    if len(a) < 12 or not _near_start(a, prompt.units):
         return False
-    a = _units(answer)
-    mine, have = _grams(a), set(_grams(prompt.units[: int(len(a) * 1.15) + 4]))
+    have = set(_grams(prompt.units[: int(len(a) * 1.15) + 4]))
     # a quoted sentence is no copy unless it runs on far beyond one
     if sum(g in have for g in mine) < 0.88 * len(mine) or prompt.quote and not _takes_the_task(a, prompt):
         return False
@@ -212,7 +233,7 @@ def wrong_language(answer: str, prompt: Prompt) -> bool:
     return True
 
 
-def is_truncated(answer: str, prompt: Prompt) -> bool:
+def is_truncated(answer: str, prompt: Prompt, endings: dict | None = None) -> bool:
     s = answer.rstrip()
     if not s:
         return False
@@ -231,7 +252,7 @@ def is_truncated(answer: str, prompt: Prompt) -> bool:
         return True
     lines = [x for x in body.split("\n") if x.strip()]
     if sum(bool(_ITEM.match(x)) for x in lines) >= max(1, len(lines) - 1) and _ITEM.match(lines[0]):
-        return _list_breaks_off(lines, prompt)
+        return _list_breaks_off(lines, prompt, endings or {})
     if _END.search(s):
         return False
     if re.search(r"[぀-ヿ㐀-鿿]", s):
@@ -247,27 +268,68 @@ def _balanced(x: str) -> bool:
     return all(x.count(a) == x.count(b) for a, b in ("()", "[]", "{}")) and x.count('"') % 2 == 0
 
 
-def _list_breaks_off(lines: list[str], prompt: Prompt) -> bool:
-    """Fewer items than asked for, or a last item that ends in mid phrase or mid word."""
-    asked = re.search(r"\b(?:the |name |list )?(two|three|four|five)\b", prompt.frame, re.I)
+def _list_breaks_off(lines: list[str], prompt: Prompt, endings: dict[str, tuple[int, int]]) -> bool:
+    """Fewer items than asked for, or a last item that ends in mid phrase or mid word.
+
+    ``endings``: of each known word, in how many items it stands and how many it ends.
+    """
+    asked = _ASKED.search(prompt.frame)
     items = sum(bool(_ITEM.match(x)) for x in lines)
-    if asked and items < {"two": 2, "three": 3, "four": 4, "five": 5}[asked.group(1).lower()]:
+    if asked and items < _NUMBERS[asked.group(1).lower()]:
+        return True
+    last = _ITEM.sub("", lines[-1]).strip() if _ITEM.match(lines[-1]) else re.sub(r"^\s*(?:\d+[.)]?|[-*•])\s*$", "", lines[-1]).strip()
+    if not last:
         return True
-    last = _ITEM.sub("", lines[-1]).strip()
     if _END.search(last):
         return False
     words = last.split()
-    if not words or words[-1].lower() in _HALF_ITEMS or last[-1] in ",;:-(":
+    w = words[-1].lower()
+    if w in _DANGLING or last[-1] in ",;:-(":
         return True
-    w = words[-1]
-    follow = re.findall(rf"(?<!\w){re.escape(w)}(?!\w)([^\w\s]*\s+\S+|[^\w\s])?", prompt.text)
-    if not follow:  # not a word of the prompt: complete only as an own word of lists
-        return w.lower() not in ("cover", "share", "days") and re.search(rf"(?<!\w){re.escape(w)}\w", prompt.text) is not None or w.lower() in ("c", "co", "cov", "cove", "sin", "da", "day")
+    if w in endings:
+        n, ends = endings[w]
+        return ends < ENDING_SHARE * n
+    follow = re.findall(rf"(?<!\w){re.escape(words[-1])}(?!\w)([^\w\s]*\s+\S+|[^\w\s])?", prompt.text)
+    if not follow:  # not a word of the prompt: broken off if it begins one, or a known word
+        return re.search(rf"(?<!\w){re.escape(words[-1])}\w", prompt.text) is not None or any(v.startswith(w) for v in endings)
     # a part of a name: wherever it stands, another capital follows
-    return w[0].isupper() and all(re.match(r"\s+[A-Z&]", f or "") for f in follow) and not re.fullmatch(r"(?:Inc|Corp|Ltd|LLC|AG|plc|S\.A|N\.V)\.?|Company|Corporation|Incorporated|Limited", w)
+    return words[-1][0].isupper() and all(re.match(r"\s+[A-Z&]", f or "") for f in follow) and not re.fullmatch(r"(?:Inc|Corp|Ltd|LLC|AG|plc|S\.A|N\.V)\.?|Company|Corporation|Incorporated|Limited", words[-1])
 
 
-def defects(prompt: Prompt, answer: str | None) -> list[str]:
+def item_words(answer: str | None) -> list[tuple[str, bool]]:
+    """``(word, ends its item)`` of the items of a list answer; each word once an item."""
+    lines = [x for x in (answer or "").split("\n") if _ITEM.match(x)]
+    out = []
+    for x in lines:
+        words = [w.lower() for w in _ITEM.sub("", x).split() if not any(c.isdigit() for c in w)]
+        out += [(w, False) for w in set(words[:-1]) - set(words[-1:])] + [(w, True) for w in words[-1:]]
+    return out
+
+
+def learn_endings(rows: DataFrame, fields: list[str]) -> dict[str, tuple[int, int]]:
+    """Of each word in ``COMMON_SHARE`` of all list items: in how many it stands and how many it ends."""
+
+    def run(it):
+        from collections import Counter
+
+        n, ends = Counter(), Counter()
+        for b in it:
+            for c in b.columns:
+                for answer in c.to_pylist():
+                    for w, last in item_words(answer):
+                        n[w] += 1
+                        ends[w] += last
+                        n[""] += last
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([ends[w] for w in n], pa.int64())], ["word", "n", "ends"])
+
+    per = rows.select(*[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]).mapInArrow(run, "word string, n long, ends long")
+    per = cut(per.groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    whole = per.where("word = ''").agg(F.max("n")).first()[0] or 0
+    known = per.where((F.col("word") != "") & (F.col("n") >= max(COMMON_ITEMS, COMMON_SHARE * whole)))
+    return {r["word"]: (r["n"], r["ends"]) for r in known.collect()}
+
+
+def defects(prompt: Prompt, answer: str | None, endings: dict | None = None) -> list[str]:
     """All triggered defects in order of rank; none after emptiness."""
     if is_empty(answer):
         return ["empty"]
@@ -278,7 +340,7 @@ def defects(prompt: Prompt, answer: str | None) -> list[str]:
         out.append("copy")
     if wrong_language(answer, prompt):
         out.append("language")
-    if is_truncated(answer, prompt):
+    if is_truncated(answer, prompt, endings):
         out.append("truncated")
     return out
 
@@ -288,6 +350,7 @@ def find_defects(rows: DataFrame, tbl: str, fields: list[str], key: str = "recor
 
     A null prompt counts as empty text; a null answer is empty.
     """
+    endings = learn_endings(rows, fields)
 
     def run(it):
         for b in it:
@@ -296,7 +359,7 @@ def find_defects(rows: DataFrame, tbl: str, fields: list[str], key: str = "recor
             for i, p in enumerate(b.column(1).to_pylist()):
                 pr = Prompt(p or "")
                 for f, c in zip(fields, cols):
-                    for r, d in enumerate(defects(pr, c[i]), 1):
+                    for r, d in enumerate(defects(pr, c[i], endings), 1):
                         who.append(i)
                         field.append(f)
                         what.append(d)
