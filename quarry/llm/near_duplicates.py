@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.core.runtime import cut
-from quarry.llm.prefix_join import BATCH, BINS, candidate_ranges, candidates, flat_sets, in_chunks, sketch_agrees, sketches
+from quarry.llm.prefix_join import BATCH, candidate_ranges, candidates, cells_of, documents_of, flat_sets, in_chunks, sketch_agrees, sketches
 from quarry.llm.tokens import mix, shingle_sets
 
 N2, K2 = 4, 2
@@ -176,26 +176,8 @@ def _signed_blocks(threshold: float, parts: int):
 
 
 def _paired(threshold: float, cross: bool):
-    def run(it):
-        key, doc, cls, size, sk, base = [], [], [], [], [], 0
-        for b in it:
-            for r, s, d, c, n, k, told in zip(*[b.column(x).to_pylist() for x in ("r", "s", "d", "cls", "n", "sk", "hot")]):
-                key.append(np.frombuffer(s, np.uint32).astype(np.uint64) | (np.uint64(r) << np.uint64(32)))
-                at = np.frombuffer(d, np.uint16).astype(np.int32)
-                doc.append(np.where(at == MARK, -1, at + np.int32(base)))
-                cls.append(np.frombuffer(c, np.int64))
-                size.append(np.frombuffer(n, np.uint32).astype(np.int64))
-                sk.append(np.frombuffer(k, np.uint64).reshape(-1, BINS // 16))
-                base += len(cls[-1])
-                if told:
-                    who = np.frombuffer(told, np.int64)
-                    yield _pairs(who, who, np.full(len(who), -1))
-        if not key:
-            return
-        key, doc, cls, size, sk = (np.concatenate(x) for x in (key, doc, cls, size, sk))
-        # one number per class, not per batch that has it
-        known, first, back = np.unique(cls, return_index=True, return_inverse=True)
-        doc, size, sk = np.where(doc < 0, -1, np.append(back, 0)[doc]).astype(np.int64), size[first], sk[first]
+    def share(key, doc, known, size, sk):
+        """Pairs and hot classes of some signatures: ``key`` with ``doc``, -1 for a mark."""
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
@@ -204,25 +186,43 @@ def _paired(threshold: float, cross: bool):
         run_len = np.diff(np.concatenate([edge, [len(key)]]))
         # a mark sorts before the sets of its signature
         hot = np.repeat((run_len > HOT) | (doc[edge] < 0), run_len)
-        if hot.any():
-            who = known[np.unique(doc[hot & (doc >= 0)])]
-            yield _pairs(who, who, np.full(len(who), -1))
+        told = np.unique(doc[hot & (doc >= 0)])
         key, doc = key[~hot], doc[~hot]
         late = (known[doc] & 1).astype(bool) if cross else None
         if cross:
             order = np.lexsort((late, key))
             key, doc, late = key[order], doc[order], late[order]
-        found = []
+        found = [np.zeros(0, np.int64)]
         for i, j in in_chunks(*candidate_ranges(key, late)):
             a, b = doc[i], doc[j]
             ok = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
             a, b = a[ok], b[ok]
             ok = sketch_agrees(sk[a], sk[b], size[a], size[b], threshold)
-            found.append(np.unique(np.minimum(a[ok], b[ok]) * len(known) + np.maximum(a[ok], b[ok])))
-        if found:
-            p = np.unique(np.concatenate(found))
-            a, b = known[p // len(known)], known[p % len(known)]
+            found.append(np.unique(np.minimum(a[ok], b[ok]).astype(np.int64) * len(known) + np.maximum(a[ok], b[ok])))
+        return np.unique(np.concatenate(found)), told
+
+    def run(it):
+        for rows in cells_of(it, ("s", "d", "cls", "n", "sk", "hot")):
+            known, size, sk, base, back = documents_of([x[2:5] for x in rows])
+            pairs, hot = [], [np.frombuffer(x[5], np.int64) for x in rows if x[5]]
+            # a quarter of the signatures at a time
+            for quarter in range(4):
+                key, doc = [], []
+                for x, o in zip(rows, base):
+                    s = np.frombuffer(x[0], np.uint32)
+                    mine = np.flatnonzero((s >> np.uint32(30)) == quarter)
+                    at = np.frombuffer(x[1], np.uint16)[mine].astype(np.int32)
+                    key.append(s[mine])
+                    doc.append(np.where(at == MARK, np.int32(-1), np.append(back, np.int32(0))[np.where(at == MARK, 0, at + np.int32(o))]))
+                key, doc = np.concatenate(key), np.concatenate(doc)
+                if len(key):
+                    p, told = share(key, doc, known, size, sk)
+                    pairs.append(p)
+                    hot.append(known[told])
+            p = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+            a, b, who = known[p // max(len(known), 1)], known[p % max(len(known), 1)], np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.int64)
             yield _pairs(np.minimum(a, b), np.maximum(a, b), np.zeros(len(p), np.int64))
+            yield _pairs(who, who, np.full(len(who), -1))
 
     return run
 
@@ -243,7 +243,7 @@ def similar_classes(sets: DataFrame, threshold: float, cross: bool = False, tota
     total = total or 0
     parts = max(8, int(total // 6_000_000))
     blocks = sets.select("cls", "hs").mapInArrow(_signed_blocks(threshold, parts), "r int, s binary, d binary, cls binary, n binary, sk binary, hot binary")
-    found = cut(blocks.repartition(parts, "r").mapInArrow(_paired(threshold, cross), "a long, b long, kind long"))
+    found = cut(blocks.repartition(parts, "r").sortWithinPartitions("r").mapInArrow(_paired(threshold, cross), "a long, b long, kind long"))
     pairs = found.where("kind = 0").select("a", "b")
     hot = found.where("kind < 0")
     if hot.limit(1).count():

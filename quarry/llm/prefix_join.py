@@ -180,23 +180,36 @@ def in_chunks(left: np.ndarray, low: np.ndarray, high: np.ndarray):
         a = b
 
 
+def cells_of(it, columns: tuple[str, ...]):
+    """The blocks of each reduce cell ``r``, which come sorted by it: lists of rows of ``columns``."""
+    at, rows = None, []
+    for b in it:
+        for r, *row in zip(*[b.column(x).to_pylist() for x in ("r", *columns)]):
+            if r != at and rows:
+                yield rows
+                rows = []
+            at = r
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def documents_of(blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, sizes and sketches of the blocks ``(cls, n, sk)`` once each; each block's first place and where its places went."""
+    cls = np.concatenate([np.frombuffer(c, np.int64) for c, _, _ in blocks])
+    size = np.concatenate([np.frombuffer(n, np.uint32) for _, n, _ in blocks]).astype(np.int64)
+    sk = np.concatenate([np.frombuffer(k, np.uint64).reshape(-1, BINS // 16) for _, _, k in blocks])
+    known, first, back = np.unique(cls, return_index=True, return_inverse=True)
+    base = np.concatenate([[0], np.cumsum([len(c) // 8 for c, _, _ in blocks])])
+    return known, size[first], sk[first], base, back.astype(np.int32)
+
+
 def _joined(threshold: float, cross: bool):
-    def run(it):
-        key, doc, pos, cls, size, sk, base = [], [], [], [], [], [], 0
-        for b in it:
-            for s, d, i, c, n, k in zip(*[b.column(x).to_pylist() for x in ("s", "d", "i", "cls", "n", "sk")]):
-                key.append(np.frombuffer(s, np.uint32))
-                doc.append(np.frombuffer(d, np.uint16).astype(np.int32) + np.int32(base))
-                pos.append(np.frombuffer(i, np.uint16))
-                cls.append(np.frombuffer(c, np.int64))
-                size.append(np.frombuffer(n, np.uint32).astype(np.int64))
-                sk.append(np.frombuffer(k, np.uint64).reshape(-1, BINS // 16))
-                base += len(cls[-1])
-        if not key:
-            return
-        key, doc, pos, cls, size, sk = (np.concatenate(x) for x in (key, doc, pos, cls, size, sk))
-        known, first, back = np.unique(cls, return_index=True, return_inverse=True)
-        doc, size, sk = back[doc].astype(np.int32), size[first], sk[first]
+    def cell(rows):
+        known, size, sk, base, back = documents_of([x[3:] for x in rows])
+        key = np.concatenate([np.frombuffer(x[0], np.uint32) for x in rows])
+        doc = np.concatenate([back[np.frombuffer(x[1], np.uint16).astype(np.int32) + np.int32(o)] for x, o in zip(rows, base)])
+        pos = np.concatenate([np.frombuffer(x[2], np.uint16) for x in rows])
         late = (known[doc] & 1).astype(bool) if cross else np.zeros(len(doc), bool)
         order = np.lexsort((doc, late, key))
         key, doc, pos, late = key[order], doc[order], pos[order].astype(np.int64), late[order]
@@ -212,9 +225,12 @@ def _joined(threshold: float, cross: bool):
             n, m = size[a], size[b]
             ok = (np.minimum(n, m) >= threshold * np.maximum(n, m)) & sketch_agrees(sk[a], sk[b], n, m, threshold)
             found.append(np.unique(np.minimum(a[ok], b[ok]).astype(np.int64) * len(known) + np.maximum(a[ok], b[ok])))
-        if found:
-            p = np.unique(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([pa.array(known[p // len(known)]), pa.array(known[p % len(known)])], ["a", "b"])
+        p = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(known[p // max(len(known), 1)]), pa.array(known[p % max(len(known), 1)])], ["a", "b"])
+
+    def run(it):
+        for rows in cells_of(it, ("s", "d", "i", "cls", "n", "sk")):
+            yield cell(rows)
 
     return run
 
@@ -231,4 +247,4 @@ def candidates(sets: DataFrame, threshold: float, cross: bool = False, table: np
     total = int(np.sum(np.exp2(table / 4.0) - 1)) if total is None else total
     parts = max(8, int(total // SHINGLES_PER_PART))
     posted = sets.select("cls", "hs").mapInArrow(_posted(threshold, parts, table), POSTINGS)
-    return cut(posted.repartition(parts, "r").mapInArrow(_joined(threshold, cross), "a long, b long")).distinct()
+    return cut(posted.repartition(parts, "r").sortWithinPartitions("r").mapInArrow(_joined(threshold, cross), "a long, b long")).distinct()
