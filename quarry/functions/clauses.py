@@ -15,10 +15,11 @@ COORDINATION = (
 )
 NEGATION = r"(?i)\b(?:not|no|never|avoided|avoiding|without|prevented|preventing|neither|nor|denied|unlikely\s+to|no\s+longer|failed\s+to|declined\s+to)\b"
 HEDGE = r"(?i)\b(?:may\s+consider|may\s+from\s+time\s+to\s+time\s+consider|might\s+consider|might|evaluating|exploring(?:\s+the\s+possibility)?|preliminary\s+talks|if\s+market\s+conditions\s+warrant|conditional\s+upon|subject\s+to\s+customary\s+closing)\b"
+# Triggers by polarity, gravest first.
 POLARITY = (
-    ("DISRUPTIVE_SHOCK", r"defaulted|bankruptcy|chapter 11|emergency\s+shutdown|export\s+ban|trade\s+embargo|catastrophic|force\s+majeure|terminated\s+for\s+cause|breach\s+of\s+contract"),
-    ("CONTRACTING_BEARISH", r"cutbacks?|reduced\s+orders?|margin\s+compression|downgraded|canceled|lawsuit|contract\s+termination|investigation|delayed|dropped|loss\s+of\s+customer"),
-    ("EXPANDING_BULLISH", r"expand(?:s|ed|ing)?|multi-year\s+(?:deal|agreement|contract|partnership)|surged?|record\s+(?:revenue|volume|orders?|commitment)|partnership\s+expansion|awarded|joint\s+venture|strategic\s+(?:collaboration|agreement|partnership)|capacity\s+increase|sole\s+source\s+win|accelerat(?:es?|ed|ing)"),
+    ("DISRUPTIVE_SHOCK", (r"defaulted", r"bankruptcy", r"chapter 11", r"emergency\s+shutdown", r"export\s+ban", r"trade\s+embargo", r"catastrophic", r"force\s+majeure", r"terminated\s+for\s+cause", r"breach\s+of\s+contract")),
+    ("CONTRACTING_BEARISH", (r"cutbacks?", r"reduced\s+orders?", r"margin\s+compression", r"downgraded", r"canceled", r"lawsuit", r"contract\s+termination", r"investigation", r"delayed", r"dropped", r"loss\s+of\s+customer")),
+    ("EXPANDING_BULLISH", (r"expand(?:s|ed|ing)?", r"multi-year\s+(?:deal|agreement|contract|partnership)", r"surged?", r"record\s+(?:revenue|volume|orders?|commitment)", r"partnership\s+expansion", r"awarded", r"joint\s+venture", r"strategic\s+(?:collaboration|agreement|partnership)", r"capacity\s+increase", r"sole\s+source\s+win", r"accelerat(?:es?|ed|ing)")),
 )
 
 
@@ -29,16 +30,25 @@ def clauses(text: Column) -> Column:
 
 
 def has_unnegated(text: Column, pattern: str, window: int = 60) -> Column:
-    """Whether a clause holds the pattern with no negation in the ``window`` characters before it."""
-    hit = F.exists(clauses(text), lambda c: c.rlike(rf"(?is)^(?:(?!{NEGATION[4:]}).)*?(?:{pattern})|{NEGATION[4:]}.{{{window},}}?(?:{pattern})"))
-    return F.coalesce(hit, F.lit(False))
+    """Whether a clause holds a hit of the pattern with no negation among the ``window`` characters before that hit.
+
+    Clauses are cut in the JVM; only texts with a hit at all go to Arrow batches, since the
+    places of the hits are needed.
+    """
+
+    @F.pandas_udf("boolean")
+    def free(parts: pd.Series) -> pd.Series:
+        hit, negated = re.compile(pattern, re.I), re.compile(NEGATION)
+        return pd.Series([p is not None and any(not negated.search(c, max(0, m.start() - window), m.start()) for c in p for m in hit.finditer(c)) for p in parts])
+
+    return F.coalesce(free(F.when(text.rlike(f"(?i){pattern}"), clauses(text))), F.lit(False))
 
 
 def polarity(text: Column, market: Column | None = None, relation: Column | None = None) -> Column:
     """Stated market view, then terminal relation, then the gravest unnegated trigger, else neutral."""
     out = F.lit("NEUTRAL_STABLE")
-    for name, p in reversed(POLARITY):
-        out = F.when(has_unnegated(text, p), name).otherwise(out)
+    for name, triggers in reversed(POLARITY):
+        out = F.when(has_unnegated(text, "|".join(triggers)), name).otherwise(out)
     if relation is not None:
         out = F.when(F.upper(F.trim(relation)).isin("DEFAULTED_ON", "TERMINATED", "CONTRACT_TERMINATION"), "DISRUPTIVE_SHOCK").otherwise(out)
     return out if market is None else F.when(market.isin("NEUTRAL_STABLE", *[n for n, _ in POLARITY]), market).otherwise(out)
@@ -48,10 +58,18 @@ def is_hedged(text: Column) -> Column:
     return F.coalesce(text.rlike(HEDGE), F.lit(False))
 
 
+def naming_clauses(text: Column, entities: Column) -> Column:
+    """Clauses that hold an entity of two or more letters, or its first word of four or more letters as a word."""
+    known = F.filter(F.transform(entities, lambda e: F.lower(F.trim(e))), lambda e: F.length(e) >= 2)
+    head = lambda e: F.regexp_replace(F.split(e, r"\s+")[0], r"^[,.]+|[,.]+$", "")
+    word = lambda c, h: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}_]", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace(h, r"[^\p{L}\p{N}_]", " "), F.lit(" ")))
+    names = lambda c: F.exists(known, lambda e: c.contains(e) | ((F.length(head(e)) >= 4) & word(c, head(e))))
+    return F.filter(clauses(text), lambda c: names(F.lower(c)))
+
+
 def triple_hedged(prompt: Column, entities: Column, triple: Column) -> Column:
     """Hedged in itself, or in a clause that names an entity, or in the only clause."""
-    cs = clauses(prompt)
-    named = F.filter(cs, lambda c: F.exists(entities, lambda e: (F.length(F.trim(e)) >= 2) & F.lower(c).contains(F.lower(F.trim(e)))))
+    cs, named = clauses(prompt), naming_clauses(prompt, entities)
     inside = F.when(F.size(named) > 0, F.exists(named, lambda c: c.rlike(HEDGE))).when(F.size(cs) == 1, F.exists(cs, lambda c: c.rlike(HEDGE))).otherwise(False)
     return is_hedged(triple) | F.coalesce(inside, F.lit(False))
 

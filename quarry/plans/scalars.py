@@ -101,9 +101,13 @@ def payload_hashes(spark, d):
     return table(spark, d, "financial_news_queue").select("id", F.substring(F.sha2("raw_text", 256), 1, 16).alias("h"))
 
 
-@query("SCA_10", r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(raw_text, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM financial_news_queue WHERE contains(raw_text, '<')")
+_PAGE = "'<script type=\"x\">var a = 1;</style> b</script><style>p {}</style><p>' || raw_text || '</p>'"
+
+
+@query("SCA_10", rf"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PAGE}, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM financial_news_queue")
 def html(spark, d):
-    return table(spark, d, "financial_news_queue").where(F.col("raw_text").contains("<")).select("id", T.strip_html(F.col("raw_text")).alias("t"))
+    page = F.concat(F.lit('<script type="x">var a = 1;</style> b</script><style>p {}</style><p>'), "raw_text", F.lit("</p>"))
+    return table(spark, d, "financial_news_queue").select("id", T.strip_html(page).alias("t"))
 
 
 _TAIL = "raw_text || CASE WHEN id % 3 = 0 THEN chr(10) || 'Disclosure: The author holds shares.' ELSE '' END"
