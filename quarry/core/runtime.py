@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,3 +47,9 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` is counted here and read again by the join: materialise it where it is not cheap.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for ``name`` in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from quarry.core.runtime import ensure_checkpoint_dir
+from quarry.core.runtime import scratch
 
 ENVELOPE = "raw_payload string, fetched_at string, source_hash string, _source string"
 
@@ -38,14 +37,81 @@ def message_text(payload: Column) -> Column:
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its rows; its state lives in the shared checkpoint folder."""
+    """Run a stream over what is there and return its rows from Parquet; state and rows live in the shared checkpoint folder.
+
+    With ``mode`` complete or update each batch replaces the rows, so the last one is returned.
+    """
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    name = f"quarry_{uuid.uuid4().hex[:12]}"
-    at = f"{spark.sparkContext.getCheckpointDir()}/{name}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
+    rows = scratch(spark, "rows")
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a replayed batch writes its own folder again
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}" if mode == "append" else rows)
+
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{rows}/batch=-1" if mode == "append" else rows)
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).option("basePath", rows).parquet(rows).select(stream.columns)
+
+
+def consumed(stream: DataFrame, rows: str, checkpoint: str) -> None:
+    """One consumer group: its own checkpoint, rows committed after they were written."""
+    stream.writeStream.format("parquet").option("path", rows).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def with_dead_letters(stream: DataFrame, good: str, dead: str, checkpoint: str) -> None:
+    """Processed messages to one table, malformed and incomplete ones with their reason to another; replays overwrite their batch."""
+
+    def split(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        batch.where("route = 'processed'").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        bad = batch.where(F.col("route").startswith("dlt_"))
+        bad.withColumn("reason", F.substring_index("route", "dlt_", -1)).drop("route").write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        batch.unpersist()
+
+    stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def keyed_failures(stream: DataFrame, key: str, failed: str, order: str, limit: int = 3) -> DataFrame:
+    """``(key, consecutive, blacklisted)`` after each batch: failures since the last success, as keyed stream state.
+
+    Rows of a key are read in order of ``order`` within a batch; the state is one number a key.
+    """
+
+    def step(group, frames, state):
+        run = state.get[0] if state.exists else 0
+        x = pd.concat(list(frames)).sort_values(order)
+        ok = (~x[failed].to_numpy(bool)).nonzero()[0]
+        run = run + len(x) if not len(ok) else len(x) - 1 - int(ok[-1])
+        state.update((run,))
+        yield pd.DataFrame({key: [group[0]], "consecutive": [run], "blacklisted": [run >= limit]})
+
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.select(key, failed, order).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, consecutive long, blacklisted boolean", "run long", "update", "NoTimeout")
+
+
+def rate_limited(stream: DataFrame, key: str, at: str, capacity: float, per_second: float) -> DataFrame:
+    """Adds ``granted``: a token bucket a key refills by ``per_second`` up to ``capacity``; a row takes one token or is refused.
+
+    ``at`` is seconds.  The state is the bucket's level and time, so a key needs no more memory however many rows it has.
+    """
+    columns = stream.columns
+
+    def step(group, frames, state):
+        level, last = state.get if state.exists else (float(capacity), None)
+        for x in frames:
+            x = x.sort_values([at, *[c for c in columns if c not in (key, at)]])
+            out = []
+            for t in x[at]:
+                level = min(capacity, level + max(0.0, t - last) * per_second) if last is not None else level
+                last = t if last is None else max(last, t)
+                out.append(level >= 1)
+                level -= 1 if level >= 1 else 0
+            yield x.assign(granted=out)
+        state.update((level, float(last)))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema) + ", granted boolean"
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "level double, last double", "append", "NoTimeout")
 
 
 def write_once(stream: DataFrame, path: str, checkpoint: str, key: str):
