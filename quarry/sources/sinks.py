@@ -41,7 +41,7 @@ def overlaid(old: DataFrame, new: DataFrame, key: str, props: str) -> DataFrame:
 
 def append_daily(rows: DataFrame, path: str, at: str) -> None:
     """Append to a table partitioned by the day of ``at``."""
-    rows.withColumn("dt", F.date_format(F.col(at), "yyyyMMdd")).write.mode("append").partitionBy("dt").json(path)
+    rows.withColumn("dt", F.date_format(F.col(at), "yyyyMMdd")).hint("rebalance", "dt").write.mode("append").partitionBy("dt").json(path)
 
 
 def save_cursor(spark: SparkSession, path: str, value: str) -> None:
@@ -53,3 +53,36 @@ def load_cursor(spark: SparkSession, path: str) -> str | None:
         return None
     row = spark.read.schema("since_checkpoint string").json(path).first()
     return row and row[0]
+
+
+def restore_snapshot(spark: SparkSession, folder: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """Replace the tables at ``target`` by a snapshot, stored by label and by relation; returns them."""
+    spark.read.parquet(f"{folder}/nodes.parquet").repartition("label").write.mode("overwrite").partitionBy("label").parquet(f"{target}/nodes")
+    spark.read.parquet(f"{folder}/edges.parquet").repartition("rel_type").write.mode("overwrite").partitionBy("rel_type").parquet(f"{target}/edges")
+    return spark.read.parquet(f"{target}/nodes"), spark.read.parquet(f"{target}/edges")
+
+
+def publish(rows: DataFrame, key: str, topic: str, servers: str | None = None, folder: str | None = None) -> None:
+    """Rows as JSON messages to a Kafka topic (all replicas acknowledge, three retries, idempotent), or appended to ``folder``/``topic`` as key and value."""
+    x = rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    if servers:
+        w = x.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+        w.option("kafka.acks", "all").option("kafka.retries", "3").option("kafka.enable.idempotence", "true").save()
+    else:
+        x.write.mode("append").json(f"{folder}/{topic}")
+
+
+def attached(rows: DataFrame, vectors: DataFrame, key: str, column: str) -> DataFrame:
+    """Rows with ``column`` taken from ``vectors`` where it has the key, else their own."""
+    v = vectors.groupBy(key).agg(F.first(column).alias("_v"))
+    return rows.join(v, key, "left").withColumn(column, F.coalesce("_v", column)).drop("_v")
+
+
+def rendered(rows: DataFrame, columns: dict[str, int], order: list[str]) -> DataFrame:
+    """``(line_no, line)`` of a fixed-width text table with a header and a rule; longer values are cut."""
+    head = "| " + " | ".join(c.ljust(n)[:n] for c, n in columns.items()) + " |"
+    rule = "|-" + "-|-".join("-" * n for n in columns.values()) + "-|"
+    cell = [F.rpad(F.substring(F.coalesce(F.col(c).cast("string"), F.lit("-")), 1, n), n, " ") for c, n in columns.items()]
+    body = rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cell), F.lit(" |")).alias("line"), F.row_number().over(W.orderBy(*order)).alias("n"))
+    top = rows.sparkSession.createDataFrame([(1, head), (2, rule)], "line_no int, line string")
+    return top.unionByName(body.select((F.col("n") + 2).alias("line_no"), "line"))
