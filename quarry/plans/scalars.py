@@ -115,16 +115,16 @@ for _p in T.TAIL_PATTERNS:
     _TAIL = f"regexp_replace({_TAIL}, '{_p}', '', 'g')"
 
 
-@query("SCA_11", f"SELECT id, trim({_TAIL}, E' \\t\\r\\n') AS t FROM financial_news_queue WHERE id % 3 = 0 OR provider IS NULL")
+@query("SCA_11", f"SELECT id, trim({_TAIL}, E' \\t\\r\\n') AS t FROM financial_news_queue")
 def tails(spark, d):
-    n = table(spark, d, "financial_news_queue").where("id % 3 = 0 or provider is null")
+    n = table(spark, d, "financial_news_queue")
     t = F.concat("raw_text", F.when(F.col("id") % 3 == 0, "\nDisclosure: The author holds shares.").otherwise(""))
     return n.select("id", F.trim(T.strip_tail(t), F.lit(" \t\r\n")).alias("t"))
 
 
-@query("SCA_12", f"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE floor(greatest({WORDS.format('text')} * 1.35, length(text) / 3.7) + 1)::INT END AS tokens FROM documents WHERE lang = 'en'")
+@query("SCA_12", f"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE floor(greatest({WORDS.format('text')} * 1.35, length(text) / 3.7) + 1)::INT END AS tokens FROM documents")
 def token_estimates(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query("SCA_15", "SELECT chunk_id, '[' || concat_ws(' | ', metadata.form_type, 'CIK ' || metadata.cik, metadata.ticker, metadata.company_name, section_name) || ']' AS header FROM filing_chunks")
@@ -133,14 +133,9 @@ def headers(spark, d):
     return table(spark, d, "filing_chunks").select("chunk_id", T.metadata_header(m["form_type"], F.concat(F.lit("CIK "), m["cik"]), m["ticker"], m["company_name"], F.col("section_name")).alias("header"))
 
 
-@query("SCA_18", r"SELECT id, CASE WHEN regexp_matches(raw_text, '(?i)\b(fire|furnace)\b') THEN 'FACILITY' WHEN regexp_matches(raw_text, '(?i)\bransomware\b') THEN 'CYBER' WHEN regexp_matches(raw_text, '(?i)\bstrike\b') THEN 'LABOR' END AS category FROM financial_news_queue")
-def disruption(spark, d):
-    return table(spark, d, "financial_news_queue").select("id", C.first_class(F.col("raw_text"), (("FACILITY", r"(?i)\b(fire|furnace)\b"), ("CYBER", r"(?i)\bransomware\b"), ("LABOR", r"(?i)\bstrike\b"))).alias("category"))
-
-
 @query("SCA_20")
 def clause_split(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(C.clauses(F.col("text"))).alias("i", "clause"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(C.clauses(F.col("text"))).alias("i", "clause"))
 
 
 @query("SCA_21")
