@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.core.runtime import cut
+from quarry.core.runtime import cut, small_side
 from quarry.llm import prefix_join
 from quarry.llm.near_duplicates import text_sets, verified
 
@@ -65,8 +65,9 @@ def near_overlaps(rows: DataFrame, threshold: float = 0.6, width: int = 3, key:
     table = prefix_join.order_table(once.where("piece is not null").select("piece", "counts"))
     pairs = cut(prefix_join.candidates(sets, threshold, True, table))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    first = m.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key"))
-    wanted = text_sets(sided.join(first.select(F.col("key").alias(key)), key, "left_semi"), key, text, width, "_train")
+    first = cut(m.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias(key)).select(key))
+    # Texts of candidates only; broadcasting their keys, where few, spares a shuffle of all texts.
+    wanted = text_sets(sided.join(small_side(first), key, "left_semi"), key, text, width, "_train")
     linked = verified(wanted, pairs, threshold)
     both = linked.join(m.select(F.col("cls").alias("a"), F.col("key").alias("ka")), "a").join(m.select(F.col("cls").alias("b"), F.col("key").alias("kb")), "b")
     train_a = F.col("a").bitwiseAND(1) == 1
