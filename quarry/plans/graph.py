@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.core.components import connected_components
-from quarry.core.runtime import table
+from quarry.core.runtime import scratch, table
 from quarry.functions import text as T
-from quarry.operators import graph as G, predicates as P
+from quarry.operators import graph as G, predicates as P, resolution as R
 from quarry.plans.registry import query
 
 AS_OF = "2023-06-30"
@@ -129,21 +129,66 @@ _NODE = "SELECT DISTINCT company_name AS id FROM sp500_constituents"
 _KEY = "coalesce(nullif(array_to_string(list_filter(regexp_extract_all(regexp_replace(lower(trim(id)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\S+'), lambda w: w NOT IN (" + ", ".join(f"'{s}'" for s in T.ENTITY_SUFFIXES) + ")), ' '), ''), regexp_replace(lower(trim(id)), '[^\\p{L}\\p{N}\\s]', '', 'g'))"
 
 
-@query("GRF_21", f"""WITH n AS (SELECT id, {_KEY} AS k FROM ({_NODE})), b AS (SELECT k, min_by(id, (-length(id), id)) AS canonical, count(*) AS mention_count FROM n GROUP BY 1) SELECT id, canonical, mention_count FROM n JOIN b USING (k)""")
+_WS = "list_filter(regexp_extract_all(regexp_replace(id, '[,.()\\-&]', ' ', 'g'), '\\S+'), lambda w: lower(w) NOT IN ('of', 'and', 'the', 'for', 'in', 'to', 'a', 'an', 'at', 'by', 'on'))"
+_INITIALS = f"CASE WHEN len({_WS}) >= 2 THEN array_to_string(list_transform({_WS}, lambda x: upper(substr(x, 1, 1))), '') ELSE '' END"
+_NODES = f"""nn AS (SELECT source_name AS id, min(source_type) AS label, min(nullif(upper(trim(source_ticker)), '')) AS ticker, min(nullif(upper(trim(source_cik)), '')) AS cik FROM annotated_triples GROUP BY 1),
+n AS (SELECT *, {_KEY} AS norm, {_INITIALS} AS init FROM nn)"""
+# The seven rules and the two identifiers over all pairs, and their components.
+_LINKED = f"""{_NODES}, al AS (SELECT *, {_KEY.replace('(id)', '(full_name)')} AS full_norm FROM (VALUES ('tsmc', 'Taiwan Semiconductor Manufacturing Company', 'TSM'), ('taiwan semiconductor', 'Taiwan Semiconductor Manufacturing Company', 'TSM'), ('foxconn', 'Hon Hai Precision Industry Co., Ltd.', 'HNHPF'),
+('google', 'Alphabet Inc.', 'GOOGL'), ('facebook', 'Meta Platforms, Inc.', 'META'), ('bofa', 'Bank of America Corporation', 'BAC'), ('apple', 'Apple Inc.', 'AAPL'), ('microsoft', 'Microsoft Corporation', 'MSFT'), ('nvidia', 'NVIDIA Corporation', 'NVDA'), ('broadcom', 'Broadcom Inc.', 'AVGO'), ('cisco', 'Cisco Systems, Inc.', 'CSCO')) t(alias, full_name, tick)),
+p AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id < b.id AND (a.cik IS NULL OR b.cik IS NULL OR a.cik = b.cik) AND (a.ticker IS NULL OR b.ticker IS NULL OR a.ticker = b.ticker OR (a.cik = b.cik AND a.cik IS NOT NULL)) WHERE
+ coalesce(a.cik = b.cik, false) OR ((a.ticker IS NULL OR b.ticker IS NULL OR a.ticker = b.ticker) AND (coalesce(a.ticker = b.ticker, false) OR (a.label = b.label AND (
+ (length(a.id) BETWEEN 2 AND 5 AND upper(a.id) = a.id AND lower(a.id) <> a.id AND a.id = b.init) OR (length(b.id) BETWEEN 2 AND 5 AND upper(b.id) = b.id AND lower(b.id) <> b.id AND b.id = a.init) OR (a.norm = b.norm AND a.norm <> '') OR coalesce(a.ticker = upper(b.id), false) OR coalesce(b.ticker = upper(a.id), false)
+ OR (length(a.norm) >= 6 AND length(b.norm) >= 6 AND substr(a.norm, 1, 4) = substr(b.norm, 1, 4) AND (list_has_all(string_split(b.norm, ' '), string_split(a.norm, ' ')) OR list_has_all(string_split(a.norm, ' '), string_split(b.norm, ' '))))
+ OR (abs(length(a.norm) - length(b.norm)) <= 2 AND least(length(a.norm), length(b.norm)) >= 4 AND (levenshtein(a.norm, b.norm) <= 1 OR (levenshtein(a.norm, b.norm) <= 2 AND least(length(a.norm), length(b.norm)) >= 6)))
+ OR (a.norm <> '' AND substr(a.norm, 1, 1) = substr(b.norm, 1, 1) AND abs(length(a.norm) - length(b.norm)) <= 5 AND jaro_winkler_similarity(strip_accents(a.norm), strip_accents(b.norm)) >= 0.88))))) 
+ UNION SELECT least(x.id, y.id), greatest(x.id, y.id) FROM n x JOIN al ON lower(trim(x.id)) = alias OR x.norm = alias JOIN n y ON y.label = x.label AND y.id <> x.id AND (x.cik IS NULL OR y.cik IS NULL OR x.cik = y.cik) AND (x.ticker IS NULL OR y.ticker IS NULL OR x.ticker = y.ticker)
+ AND (contains(lower(y.id), lower(full_name)) OR contains(lower(full_name), lower(y.id)) OR full_norm = y.norm OR coalesce(y.ticker = tick, false))),
+r AS (SELECT id AS node, id AS seen FROM n UNION SELECT r.node, CASE WHEN p.a = r.seen THEN p.b ELSE p.a END FROM r JOIN p ON p.a = r.seen OR p.b = r.seen), c AS (SELECT node AS id, min(seen) AS component FROM r GROUP BY 1)"""
+_SCORE = f"""(CASE WHEN regexp_matches(id, '(?i)^(the|our|this)\\b|\\b(giant|maker|supplier|customer|counterparty|firm)\\b') THEN 1 ELSE 0 END, CASE WHEN list_has_any(regexp_extract_all(lower(id), '\\b[a-z]+\\b'), ['inc', 'corp', 'corporation', 'co', 'company', 'ltd', 'limited', 'llc', 'plc', 'nv', 'ag', 'sa', 'gmbh', 'bv', 'group', 'holding', 'holdings',
+'technology', 'technologies', 'tech', 'system', 'systems', 'solution', 'solutions', 'semiconductor', 'semiconductors', 'international', 'intl', 'enterprises', 'enterprise', 'industries', 'industry']) THEN 0 ELSE 1 END, CASE WHEN regexp_matches(id, '(?i)^(the|our|this)\\b|\\b(giant|maker|supplier|customer|counterparty|firm)\\b') THEN length(id) ELSE -length(id) END, id)"""
+_CANONICAL = f"{_LINKED}, k AS (SELECT component, min_by(id, {_SCORE}) AS canonical, count(*) AS mention_count FROM c GROUP BY 1), m AS (SELECT id, canonical, mention_count FROM c JOIN k USING (component))"
+
+
+def entities(spark, d):
+    """Sources of triples with their identifiers."""
+    t = table(spark, d, "annotated_triples")
+    return t.groupBy(F.col("source_name").alias("id")).agg(F.min("source_type").alias("label"), F.min("source_ticker").alias("ticker"), F.min("source_cik").alias("cik"))
+
+
+@query("JOI_07", f"WITH RECURSIVE {_LINKED} SELECT id, component FROM c")
+def entity_components(spark, d):
+    """What the rules link, as the least name of each component."""
+    n = entities(spark, d)
+    comp = connected_components(R.links(n), "a", "b")
+    return n.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+@query("GRF_21", f"WITH RECURSIVE {_CANONICAL} SELECT id, canonical, mention_count FROM m")
 def resolved(spark, d):
-    n = table(spark, d, "sp500_constituents").select(F.col("company_name").alias("id")).distinct().withColumn("k", T.entity_key(F.col("id")))
-    star = n.groupBy("k").agg(F.min("id").alias("a"))
-    links = n.join(star, "k").where("id <> a").select("a", F.col("id").alias("b"))
-    return G.resolve(n, links)
+    n = entities(spark, d)
+    return R.resolved(n, R.links(n)).select("id", "canonical", "mention_count")
 
 
-@query("GRF_22", """WITH m AS (SELECT source_name AS node, min(source_cik) AS c FROM annotated_triples WHERE source_cik IS NOT NULL GROUP BY 1), r AS (SELECT coalesce(a.c, source_name) AS s, coalesce(b.c, target_name) AS t, rel_type, confidence, triple_id FROM annotated_triples LEFT JOIN m a ON a.node = source_name LEFT JOIN m b ON b.node = target_name)
-SELECT s AS source, t AS target, rel_type, count(*) AS evidence, max(confidence) AS confidence FROM r WHERE s <> t GROUP BY 1, 2, 3""")
+@query("GRF_22", f"""WITH RECURSIVE {_CANONICAL}, x AS (SELECT coalesce(s.canonical, source_name) AS s, coalesce(t.canonical, target_name) AS t, rel_type, confidence FROM annotated_triples LEFT JOIN m s ON s.id = source_name LEFT JOIN m t ON t.id = target_name),
+y AS (SELECT CASE WHEN rel_type IN ('COMPETES_WITH', 'PARTNERED_WITH') THEN least(s, t) ELSE s END AS source, CASE WHEN rel_type IN ('COMPETES_WITH', 'PARTNERED_WITH') THEN greatest(s, t) ELSE t END AS target, rel_type, confidence FROM x WHERE s <> t)
+SELECT source, target, rel_type, count(*) AS evidence, max(confidence) AS confidence FROM y GROUP BY 1, 2, 3""")
 def rewired_merged(spark, d):
-    from quarry.plans.joins import rewired
-
-    e = rewired(spark, d).join(table(spark, d, "annotated_triples").select("triple_id", "rel_type", "confidence"), "triple_id")
-    return e.groupBy("source", "target", "rel_type").agg(F.count("*").alias("evidence"), F.max("confidence").alias("confidence"))
+    n = entities(spark, d)
+    e = table(spark, d, "annotated_triples").select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), "rel_type", "confidence")
+    x = R.rewired(e, R.resolved(n, R.links(n)))
+    return x.groupBy("source", "target", "rel_type").agg(F.count("*").alias("evidence"), F.max("confidence").alias("confidence"))
+
+
+@query("GRF_23", f"WITH RECURSIVE {_CANONICAL}, i AS (SELECT m.canonical, min_by(ticker, {_SCORE.replace('(id', '(n.id').replace(', id)', ', n.id)')}) FILTER (ticker IS NOT NULL) AS ticker, count(*) AS nodes FROM m JOIN n ON n.id = m.id GROUP BY 1) SELECT canonical, ticker, nodes FROM i")
+def resolved_snapshot(spark, d):
+    """A snapshot written, read, resolved and written again: one node an entity."""
+    folder, out = scratch(spark, "raw"), scratch(spark, "resolved")
+    entities(spark, d).write.parquet(f"{folder}/nodes.parquet")
+    n = spark.read.parquet(f"{folder}/nodes.parquet")
+    r = R.resolved(n, R.links(n))
+    r.groupBy("canonical").agg(F.first("ticker").alias("ticker"), F.count("*").alias("nodes")).write.parquet(f"{out}/nodes.parquet")
+    return spark.read.parquet(f"{out}/nodes.parquet")
 
 
 @query("GRF_24", f"WITH {_E} SELECT DISTINCT a.source AS supplier, a.target AS via, b.target AS customer FROM e a JOIN e b ON a.target = b.source AND a.rel_type = 'SUPPLIES_TO' AND b.rel_type = 'SUPPLIES_TO' AND a.source <> b.target")

@@ -46,9 +46,10 @@ def test_strong_components_and_feedback(spark):
 
 
 def test_weakest_edge_breaks_cycle(spark):
-    e = spark.createDataFrame([("a", "b", 0.9, 1), ("b", "c", None, 2), ("c", "a", 0.8, 3), ("c", "d", 0.1, 4)], "source string, target string, confidence double, ordinal long")
+    rows = [("a", "b", "SUBSIDIARY_OF", 0.9, 1), ("c", "b", "PARENT_OF", None, 2), ("c", "a", "subsidiary_of", 0.8, 3), ("c", "d", "SUBSIDIARY_OF", 0.1, 4), ("b", "a", "OWNS", 0.1, 5)]
+    e = spark.createDataFrame(rows, "source string, target string, rel_type string, confidence double, ordinal long")
     kept, dropped = G.acyclic_ownership(e)
-    assert [r.ordinal for r in dropped.collect()] == [2] and kept.count() == 3
+    assert [r.ordinal for r in dropped.collect()] == [2] and kept.count() == 4
 
 
 def test_walk_prunes_and_visits_once(spark):
