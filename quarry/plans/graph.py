@@ -191,13 +191,6 @@ def resolved_snapshot(spark, d):
     return spark.read.parquet(f"{out}/nodes.parquet")
 
 
-@query("GRF_24", f"WITH {_E} SELECT DISTINCT a.source AS supplier, a.target AS via, b.target AS customer FROM e a JOIN e b ON a.target = b.source AND a.rel_type = 'SUPPLIES_TO' AND b.rel_type = 'SUPPLIES_TO' AND a.source <> b.target")
-def pattern(spark, d):
-    e = current(spark, d).where("rel_type = 'SUPPLIES_TO'")
-    a, b = e.select(F.col("source").alias("supplier"), F.col("target").alias("via")), e.select(F.col("source").alias("via"), F.col("target").alias("customer"))
-    return a.join(b, "via").where("supplier <> customer").distinct()
-
-
 @query("GRF_25", _BFS + """, h AS (SELECT e.source || ' -[' || rel_type || ']-> ' || e.target AS line, n.d + 1 AS hop FROM e JOIN n ON n.node = e.source) SELECT hop, string_agg(DISTINCT line, chr(10) ORDER BY line) AS words FROM h GROUP BY hop""")
 def verbalised(spark, d):
     x = G.k_hop(current(spark, d), root(spark), 3)
@@ -265,8 +258,3 @@ def owners(spark, d):
 @query("GRF_14")
 def ownership(spark, d):
     return G.acyclic_ownership(owners(spark, d))[1]
-
-
-@query("GRF_01", """SELECT triple_id FROM annotated_triples WHERE status = 'ACTIVE_CURRENT'""")
-def status_scan(spark, d):
-    return P.edges_at(table(spark, d, "annotated_triples"), None, "ACTIVE_CURRENT").select("triple_id")
