@@ -181,17 +181,16 @@ def in_chunks(left: np.ndarray, low: np.ndarray, high: np.ndarray):
 
 
 def cells_of(it, columns: tuple[str, ...]):
-    """The blocks of each reduce cell ``r``, which come sorted by it: lists of rows of ``columns``."""
-    at, rows = None, []
+    """The blocks of each reduce cell ``r`` of a task: lists of rows of ``columns``.
+
+    A task holds the packed blocks of its cells (their number is sized for that) and unpacks one cell at a time.
+    """
+    cells: dict[int, list] = {}
     for b in it:
         for r, *row in zip(*[b.column(x).to_pylist() for x in ("r", *columns)]):
-            if r != at and rows:
-                yield rows
-                rows = []
-            at = r
-            rows.append(row)
-    if rows:
-        yield rows
+            cells.setdefault(r, []).append(row)
+    for r in sorted(cells):
+        yield cells.pop(r)
 
 
 def documents_of(blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -247,4 +246,4 @@ def candidates(sets: DataFrame, threshold: float, cross: bool = False, table: np
     total = int(np.sum(np.exp2(table / 4.0) - 1)) if total is None else total
     parts = max(8, int(total // SHINGLES_PER_PART))
     posted = sets.select("cls", "hs").mapInArrow(_posted(threshold, parts, table), POSTINGS)
-    return cut(posted.repartition(parts, "r").sortWithinPartitions("r").mapInArrow(_joined(threshold, cross), "a long, b long")).distinct()
+    return cut(posted.repartition(parts, "r").mapInArrow(_joined(threshold, cross), "a long, b long")).distinct()
