@@ -1,8 +1,8 @@
 """Entity resolution: nodes that name one entity, by identifiers and by seven rules on names.
 
-No rule compares all pairs of a label.  Equal keys (ticker, number, normal name) collapse to
-one node for each set of identifiers before they are paired; the other rules meet in joins on
-what any pair they accept must share:
+No rule compares all pairs of a label.  Nodes with a ticker or number in common are linked to
+the least of them; equal normal names collapse to one node for each set of identifiers before
+they are paired; the other rules meet in joins on what any pair they accept must share:
 
 * containment: the rarest word of the smaller name;
 * up to two edits: one of three segments of the shorter name, at a place at most two off;
@@ -64,19 +64,22 @@ def _ends(nodes: DataFrame, side: str) -> DataFrame:
     return nodes.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "label", "ticker", "cik", "norm")])
 
 
-def _by_key(nodes: DataFrame, key: Column, rule: str, within_label: bool, same_number: bool = False) -> DataFrame:
-    """Links of nodes with an equal key: each to the least of its identifiers, and those to each other."""
-    by = ["k", "label"] if within_label else ["k"]
-    x = nodes.withColumn("k", key).where("k is not null and k <> ''")
-    w = W.partitionBy(*by, "ticker", "cik")
-    x = cut(x.withColumn("rep", F.min("id").over(w)))
-    own = x.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"), F.lit(rule).alias("rule"))
+def _star(nodes: DataFrame, key: str, rule: str, same_number: bool = False) -> DataFrame:
+    """Links of each node to the least node with its identifier, none among the others."""
+    x = nodes.where(F.col(key).isNotNull())
+    first = x.groupBy(F.col(key).alias("k")).agg(F.min("id").alias("id_a"))
+    a = first.join(_ends(nodes, "a"), "id_a")
+    return _allowed(_ends(x, "b").join(a, F.col(f"{key}_b") == F.col("k")).where("id_a <> id_b"), rule, same_number)
+
+
+def _same_name(nodes: DataFrame) -> DataFrame:
+    """Links of nodes of one label and normal name: each to the least of its identifiers, and those to each other."""
+    x = nodes.where("norm <> ''")
+    x = cut(x.withColumn("rep", F.min("id").over(W.partitionBy("norm", "label", "ticker", "cik"))))
+    own = x.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"), F.lit("name").alias("rule"))
     reps = x.where("id = rep")
-    p, q = (reps.select(F.col("k").alias(f"k_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in ("id", "label", "ticker", "cik", "norm")]) for e in ("a", "b"))
-    on = (F.col("k_a") == F.col("k_b")) & (F.col("id_a") < F.col("id_b"))
-    if within_label:
-        on = on & (F.col("label_a") == F.col("label_b"))
-    return own.unionByName(_allowed(p.join(q, on), rule, same_number))
+    on = (F.col("norm_a") == F.col("norm_b")) & (F.col("label_a") == F.col("label_b")) & (F.col("id_a") < F.col("id_b"))
+    return own.unionByName(_allowed(_ends(reps, "a").join(_ends(reps, "b"), on), "name"))
 
 
 def _allowed(pairs: DataFrame, rule: str, same_number: bool = False) -> DataFrame:
@@ -185,12 +188,11 @@ def _winkler_links(nodes: DataFrame, least: float = 0.88) -> DataFrame:
 def links(nodes: DataFrame) -> DataFrame:
     """``(a, b, rule)``, ``a < b``: accepted links of nodes ``(id, label, ticker, cik)``, each rule's own.
 
-    Equal keys come out as links to their least node, not as all pairs.  Identifiers that
-    differ forbid a link.  Null ids are left out.
+    Identifiers that differ forbid a link.  Null ids are left out.
     """
     n = cut(prepared(nodes))
     parts = [
-        _by_key(n, F.col("ticker"), "ticker", False), _by_key(n, F.col("cik"), "cik", False, True), _by_key(n, F.col("norm"), "name", True),
+        _star(n, "ticker", "ticker"), _star(n, "cik", "cik", True), _same_name(n),
         _alias_links(n), _initial_links(n), _ticker_links(n), _containment_links(n), _edit_links(n), _winkler_links(n),
     ]
     out = parts[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from quarry.core.components import connected_components
 from quarry.core.runtime import scratch, table
@@ -60,10 +60,10 @@ def distances(spark, d):
     return G.hop_distances(current(spark, d), root(spark), 12)
 
 
-@query("GRF_15", f"""WITH RECURSIVE {_E}, x AS (SELECT source AS u, target AS v FROM e WHERE rel_type = 'SUBSIDIARY_OF' AND source <> target), b AS (SELECT u, v FROM x UNION SELECT v, u FROM x),
+@query("GRF_15", f"""WITH RECURSIVE {_E}, x AS (SELECT source AS u, target AS v FROM e WHERE source <> target), b AS (SELECT u, v FROM x UNION SELECT v, u FROM x),
 w AS (SELECT u AS node, u AS c FROM b UNION SELECT b.v, w.c FROM w JOIN b ON b.u = w.node) SELECT node, min(c) AS component FROM w GROUP BY 1""")
 def components(spark, d):
-    return connected_components(current(spark, d).where("rel_type = 'SUBSIDIARY_OF'"), "source", "target")
+    return connected_components(current(spark, d), "source", "target")
 
 
 @query("GRF_16", f"""WITH t AS (SELECT least(source_name, target_name) AS a, greatest(source_name, target_name) AS b, min(strftime(extracted_at, '%Y-%m-%d')) AS day FROM annotated_triples WHERE status <> 'ACTIVE_CURRENT' GROUP BY 1, 2)
@@ -132,12 +132,12 @@ _KEY = "coalesce(nullif(array_to_string(list_filter(regexp_extract_all(regexp_re
 _WS = "list_filter(regexp_extract_all(regexp_replace(id, '[,.()\\-&]', ' ', 'g'), '\\S+'), lambda w: lower(w) NOT IN ('of', 'and', 'the', 'for', 'in', 'to', 'a', 'an', 'at', 'by', 'on'))"
 _INITIALS = f"CASE WHEN len({_WS}) >= 2 THEN array_to_string(list_transform({_WS}, lambda x: upper(substr(x, 1, 1))), '') ELSE '' END"
 _NODES = f"""nn AS (SELECT source_name AS id, min(source_type) AS label, min(nullif(upper(trim(source_ticker)), '')) AS ticker, min(nullif(upper(trim(source_cik)), '')) AS cik FROM annotated_triples GROUP BY 1),
-n AS (SELECT *, {_KEY} AS norm, {_INITIALS} AS init FROM nn)"""
+n AS (SELECT *, {_KEY} AS norm, {_INITIALS} AS init, min(id) OVER (PARTITION BY ticker) AS tfirst, min(id) OVER (PARTITION BY cik) AS cfirst FROM nn)"""
 # The seven rules and the two identifiers over all pairs, and their components.
 _LINKED = f"""{_NODES}, al AS (SELECT *, {_KEY.replace('(id)', '(full_name)')} AS full_norm FROM (VALUES ('tsmc', 'Taiwan Semiconductor Manufacturing Company', 'TSM'), ('taiwan semiconductor', 'Taiwan Semiconductor Manufacturing Company', 'TSM'), ('foxconn', 'Hon Hai Precision Industry Co., Ltd.', 'HNHPF'),
 ('google', 'Alphabet Inc.', 'GOOGL'), ('facebook', 'Meta Platforms, Inc.', 'META'), ('bofa', 'Bank of America Corporation', 'BAC'), ('apple', 'Apple Inc.', 'AAPL'), ('microsoft', 'Microsoft Corporation', 'MSFT'), ('nvidia', 'NVIDIA Corporation', 'NVDA'), ('broadcom', 'Broadcom Inc.', 'AVGO'), ('cisco', 'Cisco Systems, Inc.', 'CSCO')) t(alias, full_name, tick)),
 p AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id < b.id AND (a.cik IS NULL OR b.cik IS NULL OR a.cik = b.cik) AND (a.ticker IS NULL OR b.ticker IS NULL OR a.ticker = b.ticker OR (a.cik = b.cik AND a.cik IS NOT NULL)) WHERE
- coalesce(a.cik = b.cik, false) OR ((a.ticker IS NULL OR b.ticker IS NULL OR a.ticker = b.ticker) AND (coalesce(a.ticker = b.ticker, false) OR (a.label = b.label AND (
+ (coalesce(a.cik = b.cik, false) AND a.id = a.cfirst) OR ((a.ticker IS NULL OR b.ticker IS NULL OR a.ticker = b.ticker) AND ((coalesce(a.ticker = b.ticker, false) AND a.id = a.tfirst) OR (a.label = b.label AND (
  (length(a.id) BETWEEN 2 AND 5 AND upper(a.id) = a.id AND lower(a.id) <> a.id AND a.id = b.init) OR (length(b.id) BETWEEN 2 AND 5 AND upper(b.id) = b.id AND lower(b.id) <> b.id AND b.id = a.init) OR (a.norm = b.norm AND a.norm <> '') OR coalesce(a.ticker = upper(b.id), false) OR coalesce(b.ticker = upper(a.id), false)
  OR (length(a.norm) >= 6 AND length(b.norm) >= 6 AND substr(a.norm, 1, 4) = substr(b.norm, 1, 4) AND (list_has_all(string_split(b.norm, ' '), string_split(a.norm, ' ')) OR list_has_all(string_split(a.norm, ' '), string_split(b.norm, ' '))))
  OR (abs(length(a.norm) - length(b.norm)) <= 2 AND least(length(a.norm), length(b.norm)) >= 4 AND (levenshtein(a.norm, b.norm) <= 1 OR (levenshtein(a.norm, b.norm) <= 2 AND least(length(a.norm), length(b.norm)) >= 6)))
@@ -232,19 +232,31 @@ def leontief(spark, d):
     return g.groupBy("target").agg(F.round(F.max("s"), 6).alias("v"))
 
 
-@query("GRF_08")
+_REACH = f"""WITH RECURSIVE {_E.replace("e AS (", "e0 AS (", 1)}, e AS (SELECT source, target, triple_id FROM e0 UNION ALL SELECT target, source, -triple_id FROM e0 WHERE rel_type = 'COMPETES_WITH'), x AS (SELECT DISTINCT source AS u, target AS v FROM e), w AS (SELECT u, v FROM x UNION SELECT w.u, x.v FROM w JOIN x ON x.u = w.v), cyc AS (SELECT u AS node FROM w WHERE u = v),
+s AS (SELECT w.u AS node, min(w.v) AS scc FROM w JOIN w b ON b.u = w.v AND b.v = w.u GROUP BY 1)"""
+
+
+def mutual(spark, d):
+    """The current edges, with competition running both ways, so that there are cycles."""
+    e = current(spark, d)
+    back = e.where("rel_type = 'COMPETES_WITH'").select(F.col("target").alias("source"), F.col("source").alias("target"), "rel_type", (-F.col("triple_id")).alias("triple_id"))
+    return e.unionByName(back)
+
+
+@query("GRF_08", _REACH + " SELECT node, scc FROM s")
 def cycles(spark, d):
-    return G.strong_components(current(spark, d).where("rel_type in ('SUPPLIES_TO', 'SUBSIDIARY_OF', 'PARTNERED_WITH', 'COMPETES_WITH')"))
+    return G.strong_components(mutual(spark, d))
 
 
-@query("GRF_09")
+@query("GRF_09", _REACH + f""", h AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.target, h.d + 1 FROM h JOIN e ON e.source = h.node WHERE h.d < 40), d AS (SELECT node, min(d) AS d FROM h GROUP BY 1)
+SELECT triple_id FROM e JOIN s a ON a.node = source JOIN s b ON b.node = target AND a.scc = b.scc LEFT JOIN d u ON u.node = source LEFT JOIN d v ON v.node = target WHERE coalesce(v.d, 2147483647) <= coalesce(u.d, 2147483647)""")
 def feedback(spark, d):
-    return G.feedback_edges(current(spark, d).where("rel_type in ('SUPPLIES_TO', 'PARTNERED_WITH')"), root(spark))
+    return G.feedback_edges(mutual(spark, d), root(spark)).select("triple_id")
 
 
 @query("GRF_10")
 def radius(spark, d):
-    e = current(spark, d).where("rel_type in ('SUPPLIES_TO', 'PARTNERED_WITH')").withColumn("share", F.lit(0.5))
+    e = mutual(spark, d).withColumn("share", F.lit(0.5))
     return spark.createDataFrame([(round(G.spectral_radius(e), 4),)], "spectral_radius double")
 
 
@@ -258,3 +270,77 @@ def owners(spark, d):
 @query("GRF_14")
 def ownership(spark, d):
     return G.acyclic_ownership(owners(spark, d))[1]
+
+
+@query("TOP_03", f"""WITH RECURSIVE {_E}, w AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.target, w.d + 1 FROM w JOIN e ON e.source = w.node WHERE w.d < 1), u AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.source, u.d + 1 FROM u JOIN e ON e.target = u.node WHERE u.d < 1),
+a AS (SELECT e.*, n.d + 1 AS hop FROM e JOIN (SELECT node, min(d) AS d FROM w GROUP BY 1) n ON n.node = e.source UNION ALL SELECT e.*, n.d + 1 FROM e JOIN (SELECT node, min(d) AS d FROM u GROUP BY 1) n ON n.node = e.target)
+SELECT triple_id, min(hop) AS hop, row_number() OVER (ORDER BY min(hop), source, target, rel_type, triple_id) AS place FROM a GROUP BY triple_id, source, target, rel_type""")
+def ego_edges(spark, d):
+    """Edges around the root within two hops either way, in the order of a report."""
+    e = G.ego(current(spark, d), root(spark), 2)[1]
+    return e.select("triple_id", "hop", F.row_number().over(W.orderBy("hop", "source", "target", "rel_type", "triple_id")).cast("long").alias("place"))
+
+
+@query("TOP_04", f"""WITH RECURSIVE {_E}, w AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.target, w.d + 1 FROM w JOIN e ON e.source = w.node WHERE w.d < 3) SELECT node, min(d) AS hop, row_number() OVER (ORDER BY min(d), node) AS place FROM w GROUP BY node""")
+def report_order(spark, d):
+    return G.hop_distances(current(spark, d), root(spark), 3).select("node", F.col("dist").alias("hop"), F.row_number().over(W.orderBy("dist", "node")).cast("long").alias("place"))
+
+
+@query("TOP_08", f"""WITH {_E}, g AS (SELECT source, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, source LIMIT 8) SELECT source, triple_id FROM e JOIN g USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY triple_id) <= 5""")
+def seeds(spark, d):
+    """The eight best connected seeds, five edges of each."""
+    e = current(spark, d)
+    top = e.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(8)
+    return e.join(F.broadcast(top.select("source")), "source").withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("triple_id"))).where("r <= 5").select("source", "triple_id")
+
+
+@query("SET_05", f"""WITH RECURSIVE {_E}, w AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.target, w.d + 1 FROM w JOIN e ON e.source = w.node WHERE w.d < 2), u AS (SELECT '{_ROOT}' AS node, 0 AS d UNION SELECT e.source, u.d + 1 FROM u JOIN e ON e.target = u.node WHERE u.d < 2),
+a AS (SELECT node, d, 'DOWNSTREAM' AS role FROM w WHERE d > 0 UNION ALL SELECT node, d, 'UPSTREAM' FROM u WHERE d > 0) SELECT node, min(d) AS hop, CASE WHEN count(DISTINCT role) > 1 THEN 'BOTH' ELSE min(role) END AS role FROM a WHERE node <> '{_ROOT}' GROUP BY node""")
+def roles(spark, d):
+    return G.ego(current(spark, d), root(spark), 2)[0].where("role <> 'ROOT'").select("node", "hop", "role")
+
+
+@query("JOI_15", f"WITH {_E}, h AS (SELECT source AS node, (length(source) % 10) / 10.0 AS h FROM e GROUP BY 1) SELECT triple_id, h::DOUBLE AS h FROM e JOIN h ON h.node = e.source WHERE h > 0")
+def carried_state(spark, d):
+    """In-edges with the state of their source, where there is any."""
+    e = current(spark, d)
+    state = e.select("source").distinct().withColumn("h", (F.length("source") % 10) / 10.0)
+    return e.join(state, "source").where("h > 0").select("triple_id", "h")
+
+
+@query("AGG_09", f"WITH {_E} SELECT target, min(length(source)) AS onset, max(length(source) + triple_id % 30) AS ends FROM e WHERE triple_id % 3 <> 0 GROUP BY 1")
+def converging(spark, d):
+    """Earliest onset and latest end over the active in-edges."""
+    e = current(spark, d).where("triple_id % 3 <> 0")
+    return e.groupBy("target").agg(F.min(F.length("source")).cast("long").alias("onset"), F.max(F.length("source") + F.col("triple_id") % 30).alias("ends"))
+
+
+_ORIGIN = f"""{_E}, s AS (SELECT source, target, triple_id, 20 + triple_id % 60 AS exposure, triple_id % 45 AS buffer FROM e WHERE source <> target),
+l1 AS (SELECT target AS node, triple_id, lpad(triple_id::VARCHAR, 12, '0') AS path, '{_ROOT}' AS parent, exposure, buffer FROM s WHERE source = '{_ROOT}' QUALIFY row_number() OVER (PARTITION BY target ORDER BY path) = 1),
+m1 AS (SELECT *, 1 AS hop, greatest(90 - buffer, 0) AS dur, round(50.0 * exposure / 100 * CASE WHEN 90 > buffer THEN 1 - buffer / 90 ELSE 0.05 END, 2) AS mag FROM l1),
+l2 AS (SELECT s.target AS node, s.triple_id, p.path || lpad(s.triple_id::VARCHAR, 12, '0') AS path, p.node AS parent, s.exposure, s.buffer, p.dur AS pd, p.mag AS pm FROM s JOIN m1 p ON s.source = p.node WHERE s.target <> '{_ROOT}' AND s.target NOT IN (SELECT node FROM m1) QUALIFY row_number() OVER (PARTITION BY s.target ORDER BY path) = 1),
+m2 AS (SELECT *, 2 AS hop, greatest(pd - buffer, 0) AS dur, round(pm * exposure / 100 * CASE WHEN pd > buffer THEN 1 - buffer / pd ELSE 0.05 END, 2) AS mag FROM l2)"""
+
+
+@query("GRF_12", f"WITH {_ORIGIN} SELECT node, parent, hop, dur::BIGINT AS duration, mag::DOUBLE AS magnitude FROM m1 UNION ALL SELECT node, parent, hop, dur::BIGINT, mag::DOUBLE FROM m2")
+def first_visit_shock(spark, d):
+    """A shock of 50 % and 90 days from the root over two hops."""
+    e = current(spark, d).where("source <> target").select("source", "target", F.col("triple_id").alias("edge"), (20 + F.col("triple_id") % 60).cast("double").alias("exposure_pct"), (F.col("triple_id") % 45).cast("double").alias("buffer_days"))
+    return G.first_visit_shock(e, _ROOT, 50.0, 90.0, 2).select("node", "parent", "hop", F.col("duration").cast("long").alias("duration"), "magnitude")
+
+
+@query("GRF_13", "SELECT event_id, 'T' || user_id AS origin, round(abs(value), 2) AS magnitude_pct, CASE WHEN event_id % 4 = 0 THEN 30 ELSE 90 END AS duration_days, CASE WHEN value / 50 - 2.2 <= -2.0 THEN 0.95 ELSE 0.8 END AS confidence FROM events")
+def shock_vectors(spark, d):
+    x = table(spark, d, "events").select("event_id", F.concat(F.lit(" t"), F.col("user_id").cast("string")).alias("ticker"), F.col("value").alias("car"), (F.col("value") / 50 - 2.2).alias("z"), F.when(F.col("event_id") % 4 == 0, 30).alias("days"))
+    return G.shock_vectors(x, "ticker", "car", "z", "days").select("event_id", "origin", "magnitude_pct", "duration_days", "confidence")
+
+
+@query("GRF_20", f"""WITH o AS (SELECT * FROM (VALUES {_ONT}) t(relation, dom, rng, sym)), x AS (SELECT t.*, upper(source_type) AS sl, upper(target_type) AS tl FROM annotated_triples t),
+y AS (SELECT triple_id, relation IS NULL AS other, sym, source_name AS s, target_name AS t, list_contains(dom, sl) AND list_contains(rng, tl) AS ok, list_contains(dom, tl) AND list_contains(rng, sl) AS turn FROM x LEFT JOIN o ON relation = rel_type)
+SELECT triple_id, CASE WHEN other THEN 'relation' WHEN NOT ok AND NOT turn THEN 'ontology' ELSE 'kept' END AS verdict FROM y WHERE triple_id NOT IN (SELECT triple_id FROM annotated_triples WHERE rel_type = 'EXPOSED_TO')""")
+def payload_gate(spark, d):
+    """Every edge with the rule of the gate that rejects it, or kept."""
+    e = table(spark, d, "annotated_triples").where("rel_type <> 'EXPOSED_TO'").withColumnsRenamed({"source_name": "source", "target_name": "target"})
+    kept = G.oriented(spark, e).select("triple_id", F.lit(True).alias("kept"))
+    known = F.col("rel_type").isin(*G.ONTOLOGY, *G.ALIASES)
+    return e.join(kept, "triple_id", "left").select("triple_id", F.when(~known, "relation").when(F.col("kept").isNull(), "ontology").otherwise("kept").alias("verdict"))
