@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quarry.core.ranks import ranked
+
 
 def transitions(rows: DataFrame, key: str, order: list, correct: str) -> DataFrame:
     """``(key, learned, forgotten)``: whether ever correct, and falls from correct to incorrect in order."""
@@ -93,5 +95,5 @@ def fleiss_kappa(rows: DataFrame, yes: str, n: str) -> DataFrame:
 
 def ranked_percentiles(rows: DataFrame, key: str, value: str, qs: dict[str, float]) -> DataFrame:
     """Element ``int(n * q)`` of the sorted values of each group, not interpolated."""
-    x = rows.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(value)) - 1).withColumn("_n", F.count("*").over(W.partitionBy(key)))
+    x = ranked(rows.select(key, value), [key], [value]).withColumns({"_i": F.col("_rank"), "_n": F.col("_size")})
     return x.groupBy(key).agg(*[F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * q), F.col("_n") - 1), F.col(value))).alias(n) for n, q in qs.items()])

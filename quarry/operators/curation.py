@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.core.components import connected_components
+from quarry.core.ranks import ranked
 from quarry.core.runtime import cut
 
 
@@ -112,21 +113,24 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
 
 
 def coreset(rows: DataFrame, key: str, vector: str, k: int, block: int = 2000) -> DataFrame:
-    """``k`` rows by greedy facility location: blocks of bounded size pick ``k`` each, their picks are picked from again.
+    """``k`` rows by greedy facility location; no task ever holds more than about ``block`` rows.
 
-    Exact greedy for up to one block; beyond, the known two-level approximation.  Ties: smaller key.
+    Up to one block the greedy choice is exact.  Beyond, each of several blocks by hash picks
+    ``k`` rows and the picks are picked from again, as long as all picks fit into one block;
+    where ``k`` is too large for that, each block picks its share of ``k`` and that is the
+    result.  Ties: smaller key.
     """
     n = rows.count()
     parts = max(1, -(-n // block))
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    def greedy(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
         v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
         m = np.linalg.norm(v, axis=1, keepdims=True)
         v = v / np.where(m == 0, 1, m)
         sim = np.clip(v @ v.T, 0, 1)
         best, chosen = np.zeros(len(v)), []
-        for _ in range(min(k, len(v))):
+        for _ in range(min(most, len(v))):
             gain = np.maximum(sim, best[None, :]).sum(1) - best.sum()
             gain[chosen] = -1
             i = int(np.round(gain, 9).argmax())
@@ -134,12 +138,56 @@ def coreset(rows: DataFrame, key: str, vector: str, k: int, block: int = 2000) -
             best = np.maximum(best, sim[i])
         return pdf.loc[chosen, [key, vector]]
 
-    x = rows.select(key, vector)
-    while True:
-        x = cut(x.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(parts))).groupBy("_b").applyInPandas(lambda pdf: greedy(pdf.drop(columns="_b")), f"{key} long, {vector} array<float>"))
-        if parts == 1:
-            return x.select(key)
-        parts = -(-parts * k // block) if parts * k < n else 1
+    x = cut(rows.select(key, vector).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(parts))))
+    shared = parts > 1 and parts * k > block
+    sizes = sorted((r[0], r[1]) for r in x.groupBy("_b").agg(F.count("*")).collect()) if shared else []  # one row a block
+    quota = {b: k * c // n for b, c in sizes}
+    for b in sorted(quota)[: k - sum(quota.values())]:
+        quota[b] += 1
+    kind = rows.schema[vector].dataType.simpleString()
+    of_block = lambda pdf: greedy(pdf.drop(columns="_b"), quota.get(int(pdf["_b"].iloc[0]), k))
+    x = x.groupBy("_b").applyInPandas(of_block, f"{key} long, {vector} {kind}")
+    if parts > 1 and not shared:
+        x = cut(x).withColumn("_b", F.lit(0)).groupBy("_b").applyInPandas(of_block, f"{key} long, {vector} {kind}")
+    return x.select(key)
+
+
+def similar_vectors(rows: DataFrame, key: str, vector: str, threshold: float, block: int = 2000) -> DataFrame:
+    """``(a, b, similarity)``, ``a < b``: all pairs of rows with cosine similarity ``threshold`` or more, exact.
+
+    Every two blocks of rows meet in one task that multiplies them and gives out only what
+    reaches the threshold; the work is quadratic in the rows, the memory of a task is not.
+    """
+    parts = max(1, -(-rows.count() // block))
+    x = rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v is not null").withColumn("b", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int"))
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("k", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        m = np.linalg.norm(v, axis=1, keepdims=True)
+        v = v / np.where(m == 0, 1, m)
+        k, side = pdf["k"].to_numpy(), (pdf["b"] == pdf["j"]).to_numpy()
+        left, right = (np.arange(len(k)),) * 2 if (pdf["i"] == pdf["j"]).iloc[0] else (np.flatnonzero(~side), np.flatnonzero(side))
+        s = np.round(v[left] @ v[right].T, 9)
+        p, q = np.nonzero(s >= threshold)
+        a, b = k[left[p]], k[right[q]]
+        ok = a < b if left is right else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "similarity": s[p, q][ok]})
+
+    return x.groupBy("i", "j").applyInPandas(cell, "a long, b long, similarity double")
+
+
+def semantic_groups(rows: DataFrame, key: str, vector: str, threshold: float = 0.88) -> DataFrame:
+    """``(key, component, to_centre, kept)``: components of similar rows; the row nearest to its component's centre is kept (smaller key on ties)."""
+    comp = connected_components(similar_vectors(rows, key, vector, threshold), "a", "b")
+    x = rows.select(key, vector).join(comp.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
+    unit = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, e: s + e.cast("double") * e))
+    x = cut(x.withColumn("u", F.transform(vector, lambda e: e.cast("double") / F.when(unit == 0, 1.0).otherwise(unit))))
+    centre = x.select("component", F.posexplode("u").alias("i", "e")).groupBy("component", "i").agg(F.avg("e").alias("e"))
+    centre = centre.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda z: z["e"]).alias("c"))
+    y = x.join(centre, "component").withColumn("to_centre", F.round(cosine(F.col("u"), F.col("c")), 9))
+    best = y.groupBy("component").agg(F.min_by(key, F.struct(-F.col("to_centre"), key)).alias("best"))
+    return y.join(best, "component").select(key, "component", "to_centre", (F.col(key) == F.col("best")).alias("kept"))
 
 
 def hash_rank(key: Column, seed: str) -> Column:
@@ -155,19 +203,16 @@ def split(rows: DataFrame, key: str, train: float = 0.8, validation: float = 0.1
 
 def balanced(rows: DataFrame, key: str, label: str, cap: int, floor: int, seed: str = "42") -> DataFrame:
     """At most ``cap`` rows of a class in hash order; classes below ``floor`` repeat rows in turn (``copy`` from 0)."""
-    w = W.partitionBy(label)
-    x = rows.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(hash_rank(F.col(key), seed), key))).where(F.col("_r") <= cap)
-    copies = F.when(F.col("_n") < floor, F.floor((floor - F.col("_r")) / F.col("_n")) + 1).otherwise(1).cast("int")
-    return x.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_n", "_r")
+    x = ranked(rows, [label], [hash_rank(F.col(key), seed), key]).where(F.col("_rank") < cap)
+    copies = F.when(F.col("_size") < floor, F.floor((floor - F.col("_rank") - 1) / F.col("_size")) + 1).otherwise(1).cast("int")
+    return x.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_size", "_rank")
 
 
 def active_subset(points: DataFrame, key: str, ratio: float = 0.2, seed: str = "42") -> DataFrame:
     """All ambiguous and a share (one at least) of the easy points; hard ones stay out."""
-    n = F.count("*").over(W.partitionBy("region"))
-    r = F.row_number().over(W.partitionBy("region").orderBy(hash_rank(F.col(key), seed), key))
-    x = points.withColumn("_n", n).withColumn("_r", r)
-    quota = F.greatest(F.lit(1), F.round(F.col("_n") * ratio))
-    return x.where((F.col("region") == "ambiguous") | ((F.col("region") == "easy") & (F.col("_r") <= quota))).drop("_n", "_r")
+    x = ranked(points, ["region"], [hash_rank(F.col(key), seed), key])
+    quota = F.greatest(F.lit(1), F.round(F.col("_size") * ratio))
+    return x.where((F.col("region") == "ambiguous") | ((F.col("region") == "easy") & (F.col("_rank") < quota))).drop("_size", "_rank")
 
 
 def runaway(text: Column, most: int = 7, least: int = 4, repeats: int = 4) -> Column:

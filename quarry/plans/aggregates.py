@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
+from quarry.core.ranks import ranked
 from quarry.core.runtime import table
 from quarry.operators import aggregates as A
 from quarry.plans.registry import query
@@ -85,12 +86,6 @@ def rejections(spark, d):
     return A.signatures(table(spark, d, "events").withColumn("grp", F.col("user_id") % 3), ["event_type", "grp"], "user_id")
 
 
-@query("AGG_13", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'schema' WHEN value > 80 THEN 'recurring' WHEN value > 40 THEN 'review' ELSE 'noise' END AS bucket FROM events")
-def triage(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", "schema").when(v > 80, "recurring").when(v > 40, "review").otherwise("noise").alias("bucket"))
-
-
 @query("AGG_14", "SELECT count(*) AS total, sum((event_type = 'purchase')::INT)::BIGINT AS gaps, round(avg((event_type = 'purchase')::INT), 6) AS rate, avg((event_type = 'purchase')::INT) <= 0.05 AS converged FROM events")
 def convergence(spark, d):
     hit = (F.col("event_type") == "purchase").cast("int")
@@ -242,8 +237,8 @@ def first_n(spark, d):
 
 @query("WIN_11", "SELECT record_no, (row_number() OVER (PARTITION BY metadata.task_type ORDER BY record_no) - 1) % 3 AS style FROM dpo_records")
 def round_robin(spark, d):
-    w = W.partitionBy("metadata.task_type").orderBy("record_no")
-    return table(spark, d, "dpo_records").select("record_no", ((F.row_number().over(w) - 1) % 3).alias("style"))
+    x = table(spark, d, "dpo_records").select("record_no", F.col("metadata.task_type").alias("task"))
+    return ranked(x, ["task"], ["record_no"]).select("record_no", (F.col("_rank") % 3).alias("style"))
 
 
 @query("WIN_12", "SELECT chunk_id, lpad(CAST(i - 1 AS VARCHAR), 3, '0') AS ordinal, p AS part FROM (SELECT chunk_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM (SELECT DISTINCT chunk_id, text FROM filing_chunks))")

@@ -115,11 +115,6 @@ def preferences(spark, d):
     return C.preference_pairs(table(spark, d, "dpo_records"), held).select("sample_id", "record_no", "bucket")
 
 
-@query("CUR_23")
-def repeated(spark, d):
-    return table(spark, d, "dpo_records").where(C.runaway(F.col("rejected"))).select("record_no")
-
-
 @query("CUR_11", r"SELECT id, kind FROM (SELECT id, unnest([CASE WHEN regexp_matches(raw_text, '(?i)\bsettlement\b') THEN 'LEGAL' END, CASE WHEN regexp_matches(raw_text, '(?i)\bransomware\b') THEN 'CYBER' END, CASE WHEN regexp_matches(raw_text, '(?i)\bpatents?\b') THEN 'LICENSE' END]) AS kind FROM financial_news_queue) WHERE kind IS NOT NULL")
 def rare_classes(spark, d):
     pats = (("LEGAL", r"(?i)\bsettlement\b"), ("CYBER", r"(?i)\bransomware\b"), ("LICENSE", r"(?i)\bpatents?\b"))
