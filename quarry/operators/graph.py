@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quarry.core.components import connected_components
 from quarry.core.runtime import cut
+from quarry.operators.aggregates import over_full_groups
 
 # Relation -> domain labels, range labels, symmetric.
 ONTOLOGY = {
@@ -99,16 +100,24 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -
     return seen
 
 
-def strong_components(edges: DataFrame, most: int = 50) -> DataFrame:
+#: Edges up to which strong components are found in one task; the rounds beyond give the same.
+SMALL_GRAPH = 200_000
+
+
+def strong_components(edges: DataFrame, most: int = 50, small: int = SMALL_GRAPH) -> DataFrame:
     """``(node, scc)`` of nodes on a cycle (self-loops too); scc = smallest node.
 
-    Nodes without way in or out are trimmed; the rest is coloured by the least node that
-    reaches them, and a colour's component is what reaches back its least node.
+    Up to ``small`` counted edges one task does it.  Beyond, nodes without way in or out are
+    trimmed; the rest is coloured by the least node that reaches them, and a colour's
+    component is what reaches back its least node.
     """
     spark = edges.sparkSession
     e = cut(edges.select(F.col("source").alias("u"), F.col("target").alias("v")).where("u is not null and v is not null").distinct())
     loops = cut(e.where("u = v").select(F.col("u").alias("node")))
     e = cut(e.where("u <> v"))
+    if e.limit(small + 1).count() <= small:
+        found = cut(e.repartition(1).mapInPandas(_in_one_task, "node string, scc string"))
+        return found.unionByName(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("scc")))
     out = spark.createDataFrame([], "node string, scc string")
     for rounds in range(most + 1):
         while True:
@@ -145,6 +154,49 @@ def strong_components(edges: DataFrame, most: int = 50) -> DataFrame:
     return out.unionByName(loops.join(out, "node", "left_anti").select("node", F.col("node").alias("scc")))
 
 
+def _in_one_task(frames):
+    """Strong components of two or more nodes, by finishing order forwards and a walk backwards."""
+    import pandas as pd
+
+    ahead: dict = {}
+    back: dict = {}
+    for x in frames:
+        for u, v in zip(x["u"], x["v"]):
+            ahead.setdefault(u, []).append(v)
+            back.setdefault(v, []).append(u)
+    finished, seen = [], set()
+    for root in sorted(ahead):
+        if root in seen:
+            continue
+        seen.add(root)
+        path = [(root, iter(ahead[root]))]
+        while path:
+            node, rest = path[-1]
+            step = next((y for y in rest if y not in seen), None)
+            if step is None:
+                finished.append(node)
+                path.pop()
+            else:
+                seen.add(step)
+                path.append((step, iter(ahead.get(step, ()))))
+    nodes, names, taken = [], [], set()
+    for root in reversed(finished):
+        if root in taken:
+            continue
+        taken.add(root)
+        group, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            group.append(node)
+            more = [y for y in back.get(node, ()) if y not in taken]
+            taken.update(more)
+            todo += dict.fromkeys(more)
+        if len(group) > 1:
+            nodes += group
+            names += [min(group)] * len(group)
+    yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "scc": pd.Series(names, dtype=object)})
+
+
 def feedback_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Edges within one strong component that do not lead away from the seeds (unreached counts as endless)."""
     scc, dist = strong_components(edges), hop_distances(edges, seeds)
@@ -214,7 +266,10 @@ def cascade(edges: DataFrame, shocks: DataFrame, rounds: int = 5, gamma: float =
     an edge with buffer needs shock times duration beyond it, feedback edges are damped.  A
     second pass by hop sets onset and duration.  Nodes of one hop read each other's state of
     the hop before.  Null durations and onsets count 0; seeds outside the graph have no row.
+    Shares of a group that add up to more than 1 are an error.
     """
+    if over_full_groups(edges, "target", "input_group", "share").limit(1).count():
+        raise ValueError("the shares of an input group add up to more than 1")
     e = cut(edges.select("source", "target", "input_group", F.col("share").cast("double").alias("share"), F.coalesce(F.col("buffer_days").cast("double"), F.lit(0.0)).alias("buffer_days")))
     value = F.when(F.col("shock") > 1, F.col("shock") / 100).otherwise(F.col("shock"))
     s = shocks.groupBy("node").agg(F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("h0"), F.max(F.coalesce("duration", F.lit(0.0))).alias("d0"), F.max(F.coalesce("onset", F.lit(0.0))).alias("t0"))
@@ -240,20 +295,22 @@ def cascade(edges: DataFrame, shocks: DataFrame, rounds: int = 5, gamma: float =
         if change < tolerance:
             break
     seed = F.col("h0") > 0
-    timing = cut(state.join(h.select("node", "h"), "node").select("node", "h", "h0", "dist", F.col("d0").alias("d"), F.when(seed, F.col("t0")).alias("t"), "d0", "t0"))
-    levels = [r[0] for r in timing.select("dist").distinct().collect() if r[0] is not None]  # one per hop of a bounded search
-    for level in [*sorted(levels), None]:
-        here = F.col("dist") == level if level is not None else F.col("dist").isNull()
-        src = timing.select(F.col("node").alias("source"), "h", "d", "t")
-        dst = timing.where(here).select(F.col("node").alias("target"))
-        x = w.join(dst, "target", "left_semi").join(src, "source").where(live)
+    timing = cut(state.join(h.select("node", "h"), "node").select("node", "h", "h0", "dist", "d0", F.when(seed, F.col("t0")).alias("t0")))
+    # Beyond one hop after the last round nothing arrives: those nodes have neither onset nor downtime.
+    done = timing.where(F.coalesce("dist", F.lit(2**31 - 1)) > rounds + 1).select("node", F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("d"))
+    for level in range(rounds + 2):
+        # nodes of later hops, and of this one, still have what they started with
+        now = timing.join(done, "node", "left").select("node", "h", F.when(F.col("d").isNull(), F.col("t0")).otherwise(F.col("t")).alias("t"), F.coalesce("d", "d0").alias("d"))
+        dst = timing.where(F.col("dist") == level).select("node", "h0", "d0", "t0")
+        x = w.join(dst.select(F.col("node").alias("target")), "target", "left_semi").join(now.withColumnRenamed("node", "source"), "source").where(live)
         lag = F.col("buffer_days") / F.col("h")
         x = x.select("target", (F.coalesce("t", F.lit(0.0)) + lag).alias("a"), F.greatest(F.lit(0.0), F.col("d") - lag).alias("b")).where("b > 0")
         x = x.groupBy(F.col("target").alias("node")).agg(F.min("a").alias("na"), F.max(F.col("a") + F.col("b")).alias("nb"))
-        keeps = seed & (F.col("d0") > 0)
-        t = F.when(~here, F.col("t")).when(F.col("na").isNotNull(), F.col("na")).when(keeps, F.col("t0"))
-        d = F.when(~here, F.col("d")).when(F.col("na").isNotNull(), F.greatest(F.lit(0.0), F.col("nb") - F.col("na"))).when(keeps, F.col("d0")).otherwise(0.0)
-        timing = cut(timing.join(x, "node", "left").select("node", "h", "h0", "dist", d.alias("d"), t.alias("t"), "d0", "t0"))
+        keeps = (F.col("h0") > 0) & (F.col("d0") > 0)
+        t = F.when(F.col("na").isNotNull(), F.col("na")).when(keeps, F.col("t0"))
+        d = F.when(F.col("na").isNotNull(), F.greatest(F.lit(0.0), F.col("nb") - F.col("na"))).when(keeps, F.col("d0")).otherwise(0.0)
+        done = done.unionByName(cut(dst.join(x, "node", "left").select("node", t.alias("t"), d.alias("d"))))
+    timing = cut(timing.join(done, "node").select("node", "h", "h0", "dist", "t", "d"))
     held = e.where("buffer_days > 0").join(timing.select(F.col("node").alias("source"), "h", "d"), "source").where("h > 0 and h * d <= buffer_days").select(F.col("target").alias("node"), F.lit(True).alias("held")).distinct()
     r = timing.join(held, "node", "left").withColumn("friction", F.coalesce("held", F.lit(False)) & (F.col("d") == 0) & ~seed)
     r = r.withColumn("h", F.when(F.col("friction"), F.greatest("h", F.lit(floor))).otherwise(F.col("h"))).withColumn("peak", F.round(F.col("h") * 100, 4))
