@@ -74,10 +74,10 @@ def _round(items: DataFrame, parts: int, level: int, capacity: int) -> DataFrame
     return items.select("key", "size").repartition(parts, salted).mapInArrow(run, "key long, bin long, filled long")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, full: float = FULL, per_partition: int = PER_PARTITION) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, full: float = FULL, per_partition: int | None = None) -> DataFrame:
     """``(key, container, filled)`` for items ``(key, size)`` with unique keys and size <= capacity."""
     todo = cut(items.select(F.col("key").cast("long"), F.col("size").cast("long")))
-    n = todo.count()
+    n, per_partition = todo.count(), per_partition or PER_PARTITION
     home, done, level = None, None, 0
     while True:
         parts = max(1, -(-n // per_partition))

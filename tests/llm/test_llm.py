@@ -1,6 +1,7 @@
 """Small tests of the corpus operators: nulls, blanks, ties, repeats, empty tables, brute force."""
 
 import itertools
+import os
 import random
 import re
 
@@ -35,6 +36,24 @@ def test_defects(prompt, answer, want):
     assert D.defects(D.Prompt(prompt), answer) == want
 
 
+def test_a_long_refusal_is_one_and_a_long_answer_is_not():
+    pad = " ".join(f"The point number {i} is set out in the notes." for i in range(60))
+    assert "refusal" in D.defects(D.Prompt("Why?"), "I'm sorry, but I can't help with that request. " + pad)
+    assert D.defects(D.Prompt("Why?"), pad + " The bank said it cannot lend. " + pad) == []
+
+
+def test_list_endings_are_learned_from_all_answers(spark):
+    rows = [(i, "List the three main exposures.", f"1. price of steel\n2. only {i} days of cover\n3. share held by Acme") for i in range(40)]
+    rows += [(90, "List the three main exposures.", "1. price of steel\n2. share held by Acme\n3. only 7 days of"), (91, "List the three main exposures.", "1. price of steel\n2. share held by Acme\n3. only 7 days"), (92, "List the three main exposures.", "1. price of steel\n2. share held by Acme\n3. only 7 days of cov")]
+    df = spark.createDataFrame(rows, "record_no long, prompt string, chosen string")
+    assert {(r.record_no, r.defect) for r in D.find_defects(df, "t", ["chosen"]).collect()} == {(90, "truncated"), (91, "truncated"), (92, "truncated")}
+
+
+def test_languages_beyond_the_tables(spark):
+    finnish = "Yhtiö ei ole vielä ilmoittanut, että se olisi muuttanut suunnitelmaa, mutta hän sanoi sen olevan mahdollista."
+    assert D.defects(D.Prompt("What does the passage say about the plan? It is in the report of the firm."), finnish) == ["language"]
+
+
 def test_defect_table(spark):
     df = spark.createDataFrame([(1, None, None, "x")], "record_no long, prompt string, chosen string, rank string")
     assert [(r.field, r.defect) for r in D.find_defects(df, "t", ["chosen"]).collect()] == [("chosen", "empty")]
@@ -83,7 +102,7 @@ def test_name_variants(spark):
     got = {r.name: r.entity for r in names.link_names(spark.createDataFrame(rows, "name string, person boolean, official boolean")).collect()}
     assert len({got[n] for n in firm}) == 1 and len({got[n] for n in people}) == 1
     assert got[other[0]] == got[other[1]] != got[firm[0]] and got[other[2]] != got[other[3]]
-    assert names.collision(0.54) > 0.97
+    assert names.collision(0.54, names.BANDS) > 0.97 and names.collision((names.LONGEST - 7) / (names.LONGEST + 5), names.BANDS) >= names.RECALL
 
 
 def test_initials_join_though_the_given_name_is_the_core(spark):
@@ -91,7 +110,23 @@ def test_initials_join_though_the_given_name_is_the_core(spark):
     rows = [(n, True, False) for n in [*full, "T. Aurtoberg", "T. Belmonte", "X. Belmonte", "Mats Dovrefjell", "Mona Dovrefjell", "M. Dovrefjell", "Tariq"]]
     got = {r.name: r.entity for r in names.link_names(spark.createDataFrame(rows, "name string, person boolean, official boolean")).collect()}
     assert got["T. Aurtoberg"] == got["Tariq Aurtoberg"] != got["T. Belmonte"] == got["Tariq Belmonte"]
-    assert got["X. Belmonte"] != got["Tariq Belmonte"] and "M. Dovrefjell" not in got and "Tariq" not in got
+    assert got["X. Belmonte"] != got["Tariq Belmonte"] and got["M. Dovrefjell"] == "alone:M. Dovrefjell" and got["Tariq"] == "alone:Tariq"
+
+
+def test_names_of_every_script_come_out(spark):
+    rows = ["Łukasz Wiśniewski", "Lukasz Wisniewski", "Großmann Optik GmbH", "Grossmann Optik", "Ørsted Wind", "Orsted Wind", "株式会社日立製作所", "日立製作所", "Газпром нефть", "газпром нефть", "شركة النور", "...", "\u200b"]
+    df = spark.createDataFrame([(n, n.endswith("iewski"), False) for n in rows], "name string, person boolean, official boolean")
+    got = {r.name: r.entity for r in names.link_names(df).collect()}
+    assert set(got) == set(rows)
+    assert all(got[a] == got[b] for a, b in (rows[:2], rows[2:4], rows[4:6], rows[8:10])) and got["..."] == "alone:..."
+
+
+def test_groups_beyond_the_bound_cluster_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(names, "GROUP", 8)
+    firm = [f"Quelmiware {x} Systems" for x in ("Robotics", "Robotic", "Robotcs", "Rbotics", "Robotis", "Roobtics", "Robottics", "Robotiics", "Robotcis", "Robotisc")] * 3
+    df = spark.createDataFrame([(n, False, n == firm[0]) for n in firm] + [("Quelmiware Marine Freight", False, True)], "name string, person boolean, official boolean")
+    got = {r.name: r.entity for r in names.link_names(df).collect()}
+    assert len({got[n] for n in firm}) == 1 and got["Quelmiware Marine Freight"] != got[firm[0]]
 
 
 def test_misspelt_tokens_meet_at_every_length(spark):
@@ -168,6 +203,35 @@ def test_hot_signatures_lose_nothing(spark, monkeypatch):
     assert got == brute({i: shingled(t) for i, t in rows}, 0.7)
 
 
+def test_a_shingle_in_a_third_of_the_sets_is_spread_and_loses_nothing(spark, monkeypatch):
+    from quarry.llm import prefix_join as P
+
+    rng = random.Random(8)
+    rows = [(i, text(rng, 14) + " one two three four five six" if i % 3 == 0 else text(rng, 20)) for i in range(240)]
+    rows += [(1000 + i, edited(rng, rows[i][1], 2)) for i in range(0, 240, 4)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    sets = N.cut(N.text_sets(df, "id", "t", 3))
+    want = brute({i: shingled(t) for i, t in rows}, 0.6)
+    table = P.order_table(P.shingle_counts(sets))
+    monkeypatch.setattr(P, "SPLIT", 20)
+    h = np.array([5, 5, 9], np.uint32)
+    at, r = P._cells(h, np.array([1, 2, 3]), np.full(3, 28), 0.0, 50)  # 2**7 sets: seven shards
+    assert len(at) == 3 * 7 and {frozenset(r[at == i]) for i in (0, 1)} and set(r[at == 0]) & set(r[at == 1])
+    pairs = P.candidates(sets, 0.6, table=table)
+    got = {tuple(x) for x in N.expand_pairs(sets, N.verified(sets, pairs, 0.6)).collect()}
+    assert got == want and want
+
+
+def test_signatures_hot_in_one_batch_lose_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    base = text(rng, 120)
+    rows = [(i, base + " " + text(rng, 8)) for i in range(30)] + [(100 + i, text(rng, 100)) for i in range(20)]
+    monkeypatch.setattr(N, "LOCAL_HOT", 4)
+    sets = N.cut(N.text_sets(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t", 3))
+    got = {tuple(r) for r in N.expand_pairs(sets, N.similar_classes(sets, 0.7)).collect()}
+    assert got == brute({i: shingled(t) for i, t in rows}, 0.7)
+
+
 def test_overlaps_across_splits(spark):
     rng = random.Random(4)
     t = text(rng, 60)
@@ -213,6 +277,24 @@ def test_packing_whole_and_tight(spark, monkeypatch):
     assert len(used) <= total / 1024 * 1.06 + 2
 
 
+def test_items_that_fit_with_none_end_without_one_large_task(spark):
+    rows = [(i, 600) for i in range(3000)] + [(5000 + i, 400) for i in range(50)]
+    out = packing.pack(spark.createDataFrame(rows, "key long, size long"), per_partition=300).collect()
+    used: dict = {}
+    for r in out:
+        used.setdefault(r.container, []).append(r.key)
+    assert len(out) == len(rows) and len(used) == 3000 and sum(len(v) == 2 for v in used.values()) == 50
+
+
+def test_long_texts_count_like_short_ones():
+    from quarry.llm import sizes
+
+    if not os.path.exists(sizes.VOCABULARY):
+        pytest.skip("needs the vocabulary file")
+    t = "Stocks of ball-valves, 12 days; 株式会社 は 続く. " * 4000
+    assert sizes.count(t, sizes.VOCABULARY) == len(sizes.encoder(sizes.VOCABULARY).encode_ordinary(t))
+
+
 def test_best_fit_prefers_tightest():
     assert [sorted(k) for k, _ in packing.best_fit([(6, 1), (5, 2), (4, 3), (5, 4)], 10)] == [[1, 3], [2, 4]]
 
