@@ -49,7 +49,10 @@ def triples_of(text: str | None) -> list[tuple[str, str, str, str]]:
     return out
 
 
-parsed_triples = per_value(lambda t: [dict(zip(("source", "relation", "properties", "target"), x)) for x in triples_of(t)], "array<struct<source:string,relation:string,properties:string,target:string>>")
+def parsed_triples(text: Column) -> Column:
+    """The triples of a text as an array of structs."""
+    names = ("source", "relation", "properties", "target")
+    return per_value(lambda t: [dict(zip(names, x)) for x in triples_of(t)], "array<struct<source:string,relation:string,properties:string,target:string>>")(text)
 
 
 def terminated_relation(context: Column, default: str = "SUPPLIES_TO") -> Column:

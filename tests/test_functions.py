@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -113,3 +114,12 @@ def test_documents_of_any_label_are_compared(spark, tmp_path):
     assert len(links) == 6 and {(r.a, r.b) for r in QUERIES["CUR_03_all"](spark, str(tmp_path)).collect()} == links
     assert {(r.doc_id, r.cls) for r in QUERIES["CUR_03_classes_all"](spark, str(tmp_path)).collect()} == {(i, least[h]) for i, h in sets.items()}
     assert len(QUERIES["CUR_03_kept_all"](spark, str(tmp_path)).collect()) == len(cls) - len(links)
+
+
+def test_the_entry_loads_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 200)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip().endswith("True"), done.stderr[-500:]
