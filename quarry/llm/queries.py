@@ -96,9 +96,7 @@ def p7_found(spark, d):
 def p7_exact(spark, d):
     """Exact overlaps per split and source, the plain hash join."""
     rows = _sft(spark, d)
-    p = split_overlap.exact_overlaps(rows).select(F.col("t").alias("record_a"), F.col("e").alias("record_b"))
-    ends = p.groupBy(F.col("record_b").alias("e")).agg(F.count("*").alias("k"))
-    x = rows.select(F.col("record_no").alias("e"), "split", F.col("metadata.provenance").alias("source")).join(ends, "e")
+    x = rows.select(F.col("record_no").alias("e"), "split", F.col("metadata.provenance").alias("source")).join(split_overlap.exact_counts(rows), "e")
     return x.groupBy("split", "source").agg(F.count("*").alias("overlapping"), F.sum("k").alias("pairs"))
 
 

@@ -1,10 +1,11 @@
 """Problem 7: records of evaluation splits that also occur in the training split.
 
 Exact overlaps: canonical text (lower case, letters and digits only, single spaces) is
-hashed to 128 bits and evaluation hashes meet training hashes in one equi-join, each hash
-pre-aggregated.  A plain hash cannot see near copies, which the problem also asks for; they
-come from the signature join of ``near_duplicates`` over word shingles, evaluation against
-training only.
+hashed to 128 bits and evaluation hashes meet training hashes in one equi-join; where only
+counts are asked for, training hashes are counted before they are joined, so a prompt
+repeated in both splits is never multiplied out.  A plain hash cannot see near copies, which
+the problem also asks for; they come from the exact prefix join over word shingles
+(``prefix_join``), evaluation against training only.
 """
 
 from __future__ import annotations
@@ -39,6 +40,13 @@ def exact_overlaps(rows: DataFrame, key: str = "record_no", split: str = "split"
     return tr.join(ev, "ch").select("t", "e")
 
 
+def exact_counts(rows: DataFrame, key: str = "record_no", split: str = "split", text: str = "prompt") -> DataFrame:
+    """``(e, k)``: evaluation records with how many training records have their canonical text, where any has."""
+    x = canonical_hashes(rows.select(key, split, text).where(F.col(text).isNotNull()), text)
+    train = x.where(F.col(split) == TRAIN).groupBy("ch").agg(F.count("*").alias("k"))
+    return x.where(F.col(split) != TRAIN).select(F.col(key).alias("e"), "ch").join(train, "ch").select("e", "k")
+
+
 def _keys_and_counts(sets: DataFrame) -> DataFrame:
     """One pass over ``sets``: a row ``(cls, key)`` for each, and the pieces of the table that orders shingles."""
 

@@ -239,6 +239,7 @@ def test_overlaps_across_splits(spark):
     df = spark.createDataFrame(rows, "record_no long, split string, prompt string")
     assert {tuple(r) for r in O.overlaps(df).collect()} == {(1, 2), (1, 3), (1, 8), (2, 9), (3, 9), (5, 6), (8, 9)}
     assert O.overlaps(df.limit(0)).count() == 0
+    assert {r.e: r.k for r in O.exact_counts(df).collect()} == {2: 2, 6: 1, 8: 2}
 
 
 # 6
