@@ -100,8 +100,8 @@ def hop_distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -
     return seen
 
 
-#: Edges up to which strong components are found in one task; the rounds beyond give the same.
-SMALL_GRAPH = 200_000
+#: Counted edges up to which a graph is worked through in one task (some hundred MB); the rounds beyond give the same.
+SMALL_GRAPH = 1_000_000
 
 
 def strong_components(edges: DataFrame, most: int = 50, small: int = SMALL_GRAPH) -> DataFrame:
@@ -257,9 +257,12 @@ def _perron(inner: DataFrame, tolerance: float = 1e-6, most: int = 500) -> float
     raise RuntimeError("the spectral radius did not settle within most rounds")
 
 
-def cascade(edges: DataFrame, shocks: DataFrame, rounds: int = 5, gamma: float = 0.5, tolerance: float = 1e-9, floor: float = 0.05, threshold_pct: float = 25.0, acyclic: bool = False) -> DataFrame:
+def cascade(edges: DataFrame, shocks: DataFrame, rounds: int = 5, gamma: float = 0.5, tolerance: float = 1e-9, floor: float = 0.05, threshold_pct: float = 25.0, acyclic: bool = False, small: int = SMALL_GRAPH) -> DataFrame:
     """Shock propagation: one row per node of the graph.
 
+    Up to ``small`` counted edges and shocks one task does it on arrays, beyond it runs in
+    rounds of joins; both give the same.
+
     ``edges``: ``(source, target, input_group, share, buffer_days)``; ``shocks``:
     ``(node, shock, duration, onset)``, shocks above 1 are percent.  Rounds read the state of
     the round before: shares of one input group add up to at most 1, the worst group counts,
@@ -271,6 +274,10 @@ def cascade(edges: DataFrame, shocks: DataFrame, rounds: int = 5, gamma: float =
     if over_full_groups(edges, "target", "input_group", "share").limit(1).count():
         raise ValueError("the shares of an input group add up to more than 1")
     e = cut(edges.select("source", "target", "input_group", F.col("share").cast("double").alias("share"), F.coalesce(F.col("buffer_days").cast("double"), F.lit(0.0)).alias("buffer_days")))
+    every = e.unionByName(shocks.select(F.col("node").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("input_group"), F.col("shock").cast("double").alias("share"), F.lit(0.0).alias("buffer_days"), F.col("duration").cast("double").alias("duration"), F.col("onset").cast("double").alias("onset")), allowMissingColumns=True)
+    if every.limit(small + 1).count() <= small:
+        kind = "node string, h double, t double, d double, beyond boolean, friction boolean"
+        return _summary(every.repartition(1).mapInPandas(_cascade_of(rounds, gamma, tolerance, floor, acyclic), kind), threshold_pct)
     value = F.when(F.col("shock") > 1, F.col("shock") / 100).otherwise(F.col("shock"))
     s = shocks.groupBy("node").agg(F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("h0"), F.max(F.coalesce("duration", F.lit(0.0))).alias("d0"), F.max(F.coalesce("onset", F.lit(0.0))).alias("t0"))
     seeds = s.where("h0 > 0").select("node")
@@ -313,14 +320,91 @@ def cascade(edges: DataFrame, shocks: DataFrame, rounds: int = 5, gamma: float =
     timing = cut(timing.join(done, "node").select("node", "h", "h0", "dist", "t", "d"))
     held = e.where("buffer_days > 0").join(timing.select(F.col("node").alias("source"), "h", "d"), "source").where("h > 0 and h * d <= buffer_days").select(F.col("target").alias("node"), F.lit(True).alias("held")).distinct()
     r = timing.join(held, "node", "left").withColumn("friction", F.coalesce("held", F.lit(False)) & (F.col("d") == 0) & ~seed)
-    r = r.withColumn("h", F.when(F.col("friction"), F.greatest("h", F.lit(floor))).otherwise(F.col("h"))).withColumn("peak", F.round(F.col("h") * 100, 4))
+    r = r.withColumn("h", F.when(F.col("friction"), F.greatest("h", F.lit(floor))).otherwise(F.col("h")))
+    return _summary(r.withColumn("beyond", F.coalesce("dist", F.lit(2**31 - 1)) > rounds), threshold_pct)
+
+
+def _summary(r: DataFrame, threshold_pct: float) -> DataFrame:
+    r = r.withColumn("peak", F.round(F.col("h") * 100, 4))
     verdict = F.when(F.col("peak") >= threshold_pct, "DISRUPTIVE_SHOCK").when(F.col("friction"), "TOLERATED_BUFFERED").when(F.col("peak") > 0, "CONTAINED_MINIMAL_CONTAGION").otherwise("NEUTRAL_UNAFFECTED")
     return r.select(
         F.col("node").alias("target_entity"), F.col("peak").alias("peak_shock_pct"), F.round("h", 6).alias("impairment_score"), F.col("t").alias("onset_day"), F.col("d").alias("downtime_days"),
-        F.round(F.col("h") * F.col("d"), 4).alias("lost_capacity_days"), (F.coalesce("dist", F.lit(2**31 - 1)) > rounds).alias("is_out_of_horizon"), F.col("friction").alias("is_friction_floor"), verdict.alias("verdict"),
+        F.round(F.col("h") * F.col("d"), 4).alias("lost_capacity_days"), F.col("beyond").alias("is_out_of_horizon"), F.col("friction").alias("is_friction_floor"), verdict.alias("verdict"),
     )
 
 
+def _cascade_of(rounds: int, gamma: float, tolerance: float, floor: float, acyclic: bool):
+    """The cascade of a graph that fits into one task; rows without a target are shocks."""
+    import numpy as np
+    import pandas as pd
+
+    def run(frames):
+        x = pd.concat(list(frames))
+        e, s = x[x["target"].notna()], x[x["target"].isna()]
+        if not len(e):
+            return
+        names, ends = np.unique(np.concatenate([e["source"], e["target"]]).astype(str), return_inverse=True)
+        src, dst = ends[: len(e)], ends[len(e) :]
+        share, buffer = e["share"].to_numpy(float), e["buffer_days"].to_numpy(float)
+        group = pd.factorize(pd.Series(dst).astype(str) + "\x00" + e["input_group"].fillna("\x01").astype(str).to_numpy())[0]
+        owner = np.zeros(group.max() + 1, np.int64)
+        owner[group] = dst
+        n, place = len(names), {v: i for i, v in enumerate(names)}
+        h0, d0, t0 = np.zeros(n), np.zeros(n), np.zeros(n)
+        for who, shock, duration, onset in zip(s["source"], s["share"], s["duration"].fillna(0.0), s["onset"].fillna(0.0)):
+            i = place.get(who)
+            if i is not None and shock == shock:
+                h0[i] = max(h0[i], min(1.0, max(0.0, shock / 100 if shock > 1 else shock)))
+            if i is not None:
+                d0[i], t0[i] = max(d0[i], duration), max(t0[i], onset)
+        seed, far = h0 > 0, 2**31 - 1
+        dist, step = np.where(seed, 0, far), 0
+        while (dist == step).any():
+            dist[dst[(dist[src] == step) & (dist[dst] == far)]] = step + 1
+            step += 1
+        if not acyclic:
+            parts = next(_in_one_task([pd.DataFrame({"u": names[src[src != dst]], "v": names[dst[src != dst]]})]))
+            scc = np.arange(n) + n
+            for node, name in zip(parts["node"], parts["scc"]):
+                scc[place[node]] = place[name]
+            share = np.where((scc[src] == scc[dst]) & (dist[dst] <= dist[src]), gamma * share, share)
+
+        def live(h, d):
+            return (h[src] > 0) & ((buffer <= 0) | (h[src] * d[src] > buffer))
+
+        h = h0.copy()
+        for _ in range(rounds):
+            sums = np.minimum(1.0, np.bincount(group, np.where(live(h, d0), share * h[src], 0.0)))
+            new = h0.copy()
+            np.maximum.at(new, owner, sums)
+            change, h = np.abs(new - h).max(), new
+            if change < tolerance:
+                break
+        d, t = d0.copy(), np.where(seed, t0, np.nan)
+        d[dist > rounds + 1], t[dist > rounds + 1] = 0.0, np.nan
+        # nodes far away count as untouched until the last level is done
+        then_d, then_t = d0.copy(), np.where(seed, t0, np.nan)
+        for level in range(rounds + 2):
+            lag = np.divide(buffer, h[src], out=np.zeros(len(src)), where=h[src] > 0)
+            begin, length = np.nan_to_num(then_t[src]) + lag, np.maximum(0.0, then_d[src] - lag)
+            hit = live(h, then_d) & (length > 0) & (dist[dst] == level)
+            first, last = np.full(n, np.inf), np.full(n, -np.inf)
+            np.minimum.at(first, dst[hit], begin[hit])
+            np.maximum.at(last, dst[hit], (begin + length)[hit])
+            here, some, keeps = dist == level, np.isfinite(first), seed & (d0 > 0)
+            t[here] = np.where(some, first, np.where(keeps, t0, np.nan))[here]
+            d[here] = np.where(some, np.maximum(0.0, last - np.where(some, first, 0.0)), np.where(keeps, d0, 0.0))[here]
+            then_t[here], then_d[here] = t[here], d[here]
+        held = np.zeros(n, bool)
+        held[dst[(buffer > 0) & (h[src] > 0) & (h[src] * d[src] <= buffer)]] = True
+        friction = held & (d == 0) & ~seed
+        h = np.where(friction, np.maximum(h, floor), h)
+        onset = pd.Series(t, dtype=object).where(~np.isnan(t), None)
+        yield pd.DataFrame({"node": names, "h": h, "t": onset, "d": d, "beyond": dist > rounds, "friction": friction})
+
+    return run
+
+
 def quarantine(edges: DataFrame, most: int = 25, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges without nodes of degree ``most`` or more, and those nodes; names in ``allowed`` (upper case) stay."""
     deg = edges.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("degree")).where(F.col("degree") >= most)

@@ -78,7 +78,7 @@ def test_spectral_radius_of_a_large_component_is_no_bound(spark):
     e = spark.createDataFrame(pairs, "source string, target string, share double")
     assert abs(G.spectral_radius(e, largest=3) - np.abs(np.linalg.eigvals(m)).max()) < 1e-4
     with pytest.raises(RuntimeError):
-        G.strong_components(e, most=0)
+        G.strong_components(e, most=0, small=0)
 
 
 def test_distances_have_no_silent_end(spark):
@@ -147,7 +147,7 @@ def _by_hand(edges, shocks, rounds=5, gamma=0.5, floor=0.05):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5])
 def test_cascade_with_cycles_and_buffers_matches_plain_python(spark, seed):
     import random
 
@@ -158,8 +158,9 @@ def test_cascade_with_cycles_and_buffers_matches_plain_python(spark, seed):
     shocks = [("n0", 90.0, 40.0, 3.0), ("n1", 0.5, 10.0, 0.0)]
     e = spark.createDataFrame(edges, "source string, target string, input_group string, share double, buffer_days double")
     s = spark.createDataFrame(shocks, "node string, shock double, duration double, onset double")
-    got = {x.target_entity: (x.peak_shock_pct, x.onset_day if x.onset_day is None else round(x.onset_day, 6), round(x.downtime_days, 6), x.is_friction_floor, x.is_out_of_horizon) for x in G.cascade(e, s).collect()}
-    assert got == _by_hand(edges, shocks)
+    for small in (10**6, 0) if seed == 1 else (10**6,):  # in one task, and in rounds of joins
+        got = {x.target_entity: (pytest.approx(x.peak_shock_pct, abs=2e-4), x.onset_day if x.onset_day is None else round(x.onset_day, 6), round(x.downtime_days, 6), x.is_friction_floor, x.is_out_of_horizon) for x in G.cascade(e, s, small=small).collect()}
+        assert got == _by_hand(edges, shocks)
 
 
 def test_cascade_refuses_over_full_groups(spark):
