@@ -467,50 +467,59 @@ def acyclic_ownership(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = e.join(a, "source").join(b, "target").where("scc = _s").select("scc", "source", "target", "confidence", "ordinal")
 
     def weakest(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf.ordinal, pdf.source, pdf.target, pdf.confidence))
-        gone: list[int] = []
-        while True:
-            out: dict = {}
-            for o, s, t, c in rows:
-                out.setdefault(s, []).append((t, o, c))
-            cycle = _find_cycle(out)
-            if cycle is None:
-                return pd.DataFrame({"ordinal": pd.Series(gone, dtype="int64")})
-            drop = min(cycle, key=lambda x: (x[1], x[0]))[0]
-            gone.append(drop)
-            rows = [r for r in rows if r[0] != drop]
+        gone = _break_cycles(sorted(zip(pdf.ordinal, pdf.source, pdf.target, pdf.confidence)))
+        return pd.DataFrame({"ordinal": pd.Series(gone, dtype="int64")})
 
     dropped = cut(inner.groupBy("scc").applyInPandas(weakest, "ordinal long"))
     return edges.join(dropped, "ordinal", "left_anti"), edges.join(dropped, "ordinal", "left_semi")
 
 
-def _find_cycle(out: dict) -> list[tuple[int, float]] | None:
-    """``(ordinal, confidence)`` of the edges of a cycle, by depth-first search without recursion."""
-    color: dict = {}
+def _break_cycles(rows: list[tuple]) -> list[int]:
+    """Ordinals of the edges ``(ordinal, source, target, confidence)`` that a depth-first search drops, started anew after each cycle found.
+
+    It is not started anew: it goes back to the source of the dropped edge, where a new
+    start would come by the same path.  Nodes finished before stay finished, since no edge
+    leads from them to a cycle, and each node keeps its place among its edges.  So the work
+    is that of one search and, for each cycle, the path behind the dropped edge.
+    """
+    out: dict = {}
+    for o, s, t, c in rows:
+        out.setdefault(s, []).append((t, (c, o)))
+    at = dict.fromkeys(out, 0)
+    done: set = set()
+    gone: list[int] = []
     for root in sorted(out):
-        if root in color:
+        if root in done:
             continue
-        color[root] = 1
-        path: list = [(root, iter(out.get(root, ())))]
-        taken: list = []
+        path, taken, place = [root], [], {root: 0}
         while path:
-            node, it = path[-1]
-            step = next(it, None)
-            if step is None:
-                color[node] = 2
-                path.pop()
+            node = path[-1]
+            edges = out.get(node, ())
+            i = at.get(node, 0)
+            while i < len(edges) and edges[i][0] in done:
+                i += 1
+            at[node] = i
+            if i == len(edges):
+                done.add(path.pop())
+                del place[node]
                 if taken:
                     taken.pop()
                 continue
-            t, o, c = step
-            if color.get(t) == 1:
-                k = next(i for i, (n, _) in enumerate(path) if n == t)
-                return [*taken[k:], (o, c)]
-            if t not in color:
-                color[t] = 1
-                path.append((t, iter(out.get(t, ()))))
-                taken.append((o, c))
-    return None
+            t, edge = edges[i]
+            k = place.get(t)
+            if k is None:
+                place[t] = len(path)
+                path.append(t)
+                taken.append(edge)
+                continue
+            low = min([*taken[k:], edge])
+            gone.append(low[1])
+            d = len(path) - 1 if low is edge else taken.index(low, k)
+            at[path[d]] += 1
+            for n in path[d + 1 :]:
+                del place[n]
+            del path[d + 1 :], taken[d:]
+    return gone
 
 
 def close_states(edges: DataFrame, events: DataFrame) -> DataFrame:
