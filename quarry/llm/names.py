@@ -29,8 +29,8 @@ from quarry.core.runtime import cut, small_side
 LONGEST, ROWS, RECALL = 20, 3, 0.99
 #: Keys of one anchor that are clustered together; larger groups are clustered in blocks first.
 GROUP = 4000
-#: A token in at least this share of keys (and so many) is vocabulary: it is identity only in keys that have nothing else.
-COMMON_SHARE, COMMON_KEYS = 0.004, 12
+#: A token in so many keys, more than one entity has, is vocabulary in a table of any size: it is identity only in keys that have nothing else.
+COMMON_KEYS = 12
 MATCH = 0.84
 
 # Parameters: legal forms, titles and what follows names.
@@ -317,11 +317,9 @@ def link_names(names: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     initials = F.col("key").rlike("^[a-z]{2,5}$") & F.col("name").rlike(r"^[A-Z]{2,5}(?=[ ,]|$)") & ~F.col("person")
     keys = keyed.where(~initials).groupBy("person", "key").agg(F.count("*").alias("spellings"), F.max(F.col("official").cast("int")).alias("official"), F.sum("seen").alias("seen"))
     keys = cut(keys)
-    n = keys.count()
     toks = keys.select("person", "key", "spellings", "official", F.explode(F.array_distinct(F.split("key", " "))).alias("token")).where("length(token) > 1")
     df = toks.groupBy("person", "token").agg(F.count("*").alias("df"), F.sum("spellings").alias("forms"), F.max("official").alias("official"))
-    # At most (tokens per key) / COMMON_SHARE tokens can be so common.
-    common = cut(df.where(F.col("df") >= max(COMMON_KEYS, COMMON_SHARE * n)).select("person", "token", F.lit(3).cast("long").alias("proof"), "forms", F.lit(True).alias("common")))
+    common = cut(df.where(F.col("df") >= COMMON_KEYS).select("person", "token", F.lit(3).cast("long").alias("proof"), "forms", F.lit(True).alias("common")))
     rare = df.join(small_side(common.select("person", "token")), ["person", "token"], "left_anti")
     proof = F.when(F.col("official") > 0, 3).when((F.col("forms") >= 4) & (F.col("df") >= 2), 2).when(F.col("forms") >= 2, 1).otherwise(0)
     rare = cut(rare.select("person", "token", proof.cast("long").alias("proof"), "forms"))
@@ -330,10 +328,10 @@ def link_names(names: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     links = cut(links[0].unionByName(links[1]).join(every.select("person", F.col("token").alias("b"), "forms", "common"), ["person", "b"]))
     # Two proven tokens stay apart: a slip of the pen is never proven by several spellings and an official name at once.
     own = rare.select("person", F.col("token").alias("a"), F.col("proof").alias("own"), F.col("forms").alias("own_forms"))
-    # An unproven token next to a common one is that word misspelt, not identity: it is core only where a key has nothing else.
-    good = links.join(own, ["person", "a"]).where("own < 2 or (not common and own < 3 and proof = 3 and forms >= 4 * own_forms)")
+    # A token next to a far more usual common one is that word misspelt, not identity, however often it is: it is core only where a key has nothing else.
+    good = links.join(own, ["person", "a"]).where("own < 2 or (own < 3 and proof = 3 and forms >= 4 * own_forms)")
     best = good.withColumn("r", F.row_number().over(W.partitionBy("person", "a").orderBy("d", F.desc("proof"), F.desc("forms"), "b"))).where("r = 1")
-    anchors = own.join(best.select("person", "a", "b", "common"), ["person", "a"], "left").select("person", F.col("a").alias("token"), F.coalesce("b", "a").alias("anchor"), F.when(F.col("common"), -1).otherwise(F.col("own")).alias("proof"), F.col("own_forms").alias("forms"))
+    anchors = own.join(best.select("person", "a", "b", "common", "forms"), ["person", "a"], "left").select("person", F.col("a").alias("token"), F.coalesce("b", "a").alias("anchor"), F.when(F.col("common"), -1).otherwise(F.col("own")).alias("proof"), F.when(F.col("common"), F.col("forms")).otherwise(F.col("own_forms")).alias("forms"))
     # one more step for a token anchored at an anchored one
     up = anchors.select("person", F.col("token").alias("anchor"), F.col("anchor").alias("top"), F.col("proof").alias("anchor_proof"), F.col("forms").alias("anchor_forms"))
     anchors = cut(anchors.join(up, ["person", "anchor"], "left").select("person", "token", F.coalesce("top", "anchor").alias("anchor"), F.coalesce("anchor_proof", "proof").alias("ap"), F.coalesce("anchor_forms", "forms").alias("af")))

@@ -113,6 +113,19 @@ def test_initials_join_though_the_given_name_is_the_core(spark):
     assert got["X. Belmonte"] != got["Tariq Belmonte"] and got["M. Dovrefjell"] == "alone:M. Dovrefjell" and got["Tariq"] == "alone:Tariq"
 
 
+def test_a_misspelt_common_word_is_no_identity_however_often_it_stands(spark):
+    rng = random.Random(3)
+    last = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(5)).title() for _ in range(30)]
+    firm = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(5)).title() for _ in range(30)]
+    people = [f"Anthony {x}" for x in last] + [f"{x}, Anthony" for x in last] + [f"Atnhony {x}" for x in last[:6]]
+    firms = [f"{x} Semiconductor Freight" for x in firm] + [f"{x} Semicodnutor Freight Inc." for x in firm[:6]]
+    df = spark.createDataFrame([(n, n in people, False) for n in people + firms], "name string, person boolean, official boolean")
+    got = {r.name: r.entity for r in names.link_names(df).collect()}
+    assert all(got[f"Atnhony {x}"] == got[f"Anthony {x}"] == got[f"{x}, Anthony"] for x in last[:6])
+    assert all(got[f"{x} Semicodnutor Freight Inc."] == got[f"{x} Semiconductor Freight"] for x in firm[:6])
+    assert len(set(got.values())) == 60
+
+
 def test_names_of_every_script_come_out(spark):
     rows = ["Łukasz Wiśniewski", "Lukasz Wisniewski", "Großmann Optik GmbH", "Grossmann Optik", "Ørsted Wind", "Orsted Wind", "株式会社日立製作所", "日立製作所", "Газпром нефть", "газпром нефть", "شركة النور", "...", "\u200b"]
     df = spark.createDataFrame([(n, n.endswith("iewski"), False) for n in rows], "name string, person boolean, official boolean")
