@@ -27,11 +27,13 @@ from quarry.core.runtime import cut, small_side
 
 #: Tokens up to this length are paired without misses, longer ones by bands with this recall.
 LONGEST, ROWS, RECALL = 20, 3, 0.99
-#: Keys of one anchor that are clustered together; larger groups are clustered in blocks first.
+#: Keys of one anchor beyond which a key is compared only with the centres that have a word like one of its own; the stars are the same.
 GROUP = 4000
 #: A token in so many keys, more than one entity has, is vocabulary in a table of any size: it is identity only in keys that have nothing else.
 COMMON_KEYS = 12
-MATCH = 0.84
+#: Similarity from which keys are alike, and what an equal core adds.
+MATCH, SAME_CORE = 0.84, 0.001
+MATCH_SHARE = 1 - MATCH + 2 * SAME_CORE
 
 # Parameters: legal forms, titles and what follows names.
 LEGAL = frozenset("inc incorporated corp corporation ltd limited llc plc ag sa nv co company lp llp gmbh spa se aktiengesellschaft".split())
@@ -231,7 +233,7 @@ def _stars(it):
     """Star clustering of the keys of each anchor; a star is named by its centre's key.
 
     A group holds the distinct keys of one identity word, that is the misspellings of a
-    handful of entities, not their mentions; ``_clustered`` bounds it.
+    handful of entities, not their mentions.
     """
     groups: dict = {}
     for b in it:
@@ -247,41 +249,69 @@ def _stars(it):
 
 
 def _clustered(grouped: DataFrame) -> DataFrame:
-    """``(person, key, star)`` of ``(person, anchor, key, core, weight)``.
+    """``(person, key, star)`` of ``(person, anchor, key, core, weight)``; a group of any size is clustered in one pass."""
+    return grouped.select("person", "anchor", "key", "core", "weight").repartition("person", "anchor").mapInArrow(_stars, "person boolean, key string, star string")
 
-    Groups of more than ``GROUP`` keys are clustered in blocks by hash, then the centres of
-    all blocks among themselves; a key follows the centre that it joined.
+
+class _Centres:
+    """The centres opened so far, by word.
+
+    A mean of ``MATCH`` needs a word whose best partner is as similar as that: one that
+    abbreviates the other or one within an edit, or within 16.2 % of its letters.  Only
+    centres with such a word are named; centres always have words beside the core.
     """
-    out = "person boolean, key string, star string"
-    n = grouped.groupBy("person", "anchor").agg(F.count("*").alias("n"))
-    large = cut(n.where(F.col("n") > GROUP))
-    if not large.limit(1).count():
-        return grouped.select("person", "anchor", "key", "core", "weight").repartition("person", "anchor").mapInArrow(_stars, out)
-    rest = grouped.join(large, ["person", "anchor"], "left_anti").select("person", "anchor", "key", "core", "weight").repartition("person", "anchor").mapInArrow(_stars, out)
-    big = grouped.join(large, ["person", "anchor"]).withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / GROUP)))
-    block = F.concat_ws("\u0001", "anchor", F.col("block").cast("string")).alias("anchor")
-    first = cut(big.select("person", block, "key", "core", "weight").repartition("person", "anchor").mapInArrow(_stars, out))
-    centres = big.join(first.where("key = star").select("person", "key"), ["person", "key"], "left_semi")
-    second = cut(centres.select("person", "anchor", "key", "core", "weight").repartition("person", "anchor").mapInArrow(_stars, out))
-    up = second.select("person", F.col("key").alias("star"), F.col("star").alias("top"))
-    return rest.unionByName(first.join(up, ["person", "star"], "left").select("person", "key", "top").withColumnRenamed("top", "star"))
+
+    def __init__(self):
+        self.having: dict[str, list[int]] = {}
+        self.first: dict[str, list[str]] = {}
+        self.left: dict[str, list[str]] = {}
+        self.short: dict[str, tuple[int, list[str]]] = {}
+
+    @staticmethod
+    def _left(t: str) -> set[str]:
+        """What is left of a word after as many deletions as edits may part it from a word that similar."""
+        most = max(k for k in (1, *(int(MATCH_SHARE * m) for m in range(len(t), len(t) + 8) if m - len(t) <= int(MATCH_SHARE * m))))
+        return {"".join(c for i, c in enumerate(t) if i not in drop) for k in range(min(most, len(t) - 1) + 1) for drop in combinations(range(len(t)), k)}
+
+    def add(self, i: int, rest: list[str]) -> None:
+        for t in set(rest):
+            if t not in self.having:
+                self.first.setdefault(t[0], []).append(t)
+                for h in self._left(t):
+                    self.left.setdefault(h, []).append(t)
+            self.having.setdefault(t, []).append(i)
+
+    def like(self, rest: list[str]) -> list[int]:
+        """In the order of opening."""
+        out: set[int] = set()
+        for t in set(rest):
+            known, near = self.short.get(t, (0, []))
+            bucket = self.first.get(t[0], [])
+            near += [w for w in bucket[known:] if _inside(*sorted((t, w), key=len))]
+            self.short[t] = len(bucket), near
+            for w in {*near, *(w for h in self._left(t) for w in self.left.get(h, ()))}:
+                out.update(self.having[w])
+        return sorted(out)
 
 
 def _cluster(members: list[tuple], person: bool) -> list[tuple[str, str | None]]:
     """``(key, star)`` of keys by falling weight; no star where several fit a key alike."""
     rest = [[t for t in key.split() if t != core] for _, key, core in members]
     centres: list[int] = []
+    index = _Centres() if len(members) > GROUP else None
     star: list[str | None] = [None] * len(members)
     for i, r in enumerate(rest):
         if not any(len(t) > 1 for t in r):
             continue
         best, score = i, MATCH
-        for c in centres:
-            s = _same(r, rest[c], person) + 0.001 * (members[i][2] == members[c][2])
+        for c in centres if index is None else index.like(r):
+            s = _same(r, rest[c], person) + SAME_CORE * (members[i][2] == members[c][2])
             if s > score:
                 best, score = c, s
         if best == i:
             centres.append(i)
+            if index is not None:
+                index.add(i, r)
         star[i] = members[best][1]
     for i, r in enumerate(rest):
         if star[i] is None:

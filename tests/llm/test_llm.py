@@ -142,6 +142,53 @@ def test_groups_beyond_the_bound_cluster_in_blocks(spark, monkeypatch):
     assert len({got[n] for n in firm}) == 1 and got["Quelmiware Marine Freight"] != got[firm[0]]
 
 
+def test_large_groups_give_the_stars_of_one_pass(monkeypatch):
+    rng = random.Random(4)
+    words = ["robotics", "robotcs", "marine", "freight", "frieght", "copper", "coper", "mining", "m", "f", "systems", "sys", "paper", "ingrid", "inrgid", "maria", "mario"]
+    for person in (True, False):
+        for _ in range(40):
+            keys = {" ".join(sorted([core, *rng.sample(words, rng.randint(0, 3))])): core for core in rng.choices(["quelmira", "quelmria"], k=60)}
+            members = sorted((-rng.randint(1, 9), key, core) for key, core in keys.items())
+            monkeypatch.setattr(names, "GROUP", 10**9)
+            want = names._cluster(members, person)
+            monkeypatch.setattr(names, "GROUP", 0)
+            assert names._cluster(members, person) == want
+
+
+def test_words_that_may_reach_the_bound_are_looked_up():
+    rng = random.Random(2)
+    hits = 0
+    for _ in range(4000):
+        a = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 15)))
+        b = a
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(b))
+            b = rng.choice([b[:i] + b[i + 1 :], b[:i] + "c" + b[i:], b[:i] + "d" + b[i + 1 :], b[:i] + b[i : i + 2][::-1] + b[i + 2 :]]) or "a"
+        index = names._Centres()
+        index.add(7, [b])
+        if names.token_similarity(a, b) >= names.MATCH - names.SAME_CORE:
+            hits += 1
+            assert index.like([a]) == [7], (a, b)
+    assert hits > 1000
+
+
+def test_links_do_not_depend_on_the_size_of_the_table(spark):
+    rng = random.Random(6)
+    last = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(5)).title() for _ in range(14)]
+    rows = [(n, True, False) for x in last for n in (f"Ingrid {x}", f"{x}, Ingrid", f"Inrgid {x}", f"INGRID {x}")]
+    other = [("".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(7)), False, False) for _ in range(12_000)]
+
+    def groups(table):
+        out = {}
+        for r in names.link_names(spark.createDataFrame(table, "name string, person boolean, official boolean")).collect():
+            out.setdefault(r.entity, set()).add(r.name)
+        return {frozenset(g & {x[0] for x in rows}) for g in out.values()} - {frozenset()}
+
+    small = groups(rows)
+    assert small == {frozenset((f"Ingrid {x}", f"{x}, Ingrid", f"Inrgid {x}", f"INGRID {x}")) for x in last}
+    assert groups(rows + other) == small
+
+
 def test_misspelt_tokens_meet_at_every_length(spark):
     rng = random.Random(9)
     letters = "abcdefghijklmnopqrstuvwxyz"
