@@ -73,6 +73,16 @@ def test_repeated_lines(spark):
     assert B.repeated_line_positions(df.limit(0), sites).count() == 0
 
 
+def test_lines_are_decided_without_the_statistics(spark, monkeypatch):
+    sites = spark.createDataFrame([("a.example", "A"), ("b.example", "B")], "domain string, provider string")
+    rows = [(i, f"Body {'xyzuvw'[i % 6]}{'abcd'[i // 6]}\nShared" + ("\nFollow us" if i % 2 else ""), None, "AB"[i % 2]) for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, raw_text string, source_url string, provider string")
+    want = {tuple(r) for r in B.excessive_lines(df, sites).select("site", "h").collect()}
+    monkeypatch.setattr(B, "log_likelihood_ratio", lambda *_: pytest.fail("not needed"))
+    assert {tuple(r) for r in B.flat_hot(df, sites, 5, 0.10).collect()} == want and len(want) == 3
+    assert {tuple(r) for r in B.repeated_line_positions(df, sites).collect()} == {(i, 2) for i in range(24)} | {(i, 3) for i in range(1, 24, 2)}
+
+
 # 3
 def test_pieces_cover_overlap_and_limit():
     rng = random.Random(1)
